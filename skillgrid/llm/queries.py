@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillgrid.llm import language, sampling
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", sampling.remainder("doc_id", 4) == 2)
+    model = language.fit(docs.filter(~F.col("held_out")))
+    out = language.identify(docs.select("doc_id", "held_out", "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +30,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillgrid.llm import quality, sampling
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (sampling.remainder("doc_id", 3) == 1).alias("held_out"))
+    model = quality.fit(docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", "held_out", quality.score(model, docs).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skillgrid.llm import media
 
@@ -32,7 +50,9 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
     "op5_packing": op5_packing,
+    "op8_quality": op8_quality,
     "op10_media": op10_media,
 }
 ORACLE_SQL: dict[str, str] = {}
