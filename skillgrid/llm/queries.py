@@ -36,6 +36,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillgrid.llm import secrets
+
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.rank == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listing("base"), 256).alias("base_sha256"), secrets.listing("spans").alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skillgrid.llm import quality, sampling
 
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op3_language": op3_language,
     "op5_packing": op5_packing,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op10_media": op10_media,
 }
