@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ WINDOW_TOKENS = 1 << 22
 END_ID = 2
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention stays within a piece).
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -79,8 +80,8 @@ def plan(lengths: np.ndarray, capacity: int = SEQUENCE_TOKENS, linear: float = L
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across a space or line feed, so
-    each chunk between them is encoded once and looked up afterwards; the table of chunks is emptied when
-    full."""
+    each chunk between them is encoded once and looked up afterwards. A worker keeps its table of chunks from
+    task to task and empties it when full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,7 +113,7 @@ class Encoder:
         if fresh := list({c for p in parts for c in p if c not in self.at}):
             self.learn(fresh)
         get = self.at.__getitem__
-        k = np.fromiter((i for p in parts for i in map(get, p)), np.int64)
+        k = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         n = self.count[k]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.begin[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -120,6 +121,9 @@ class Encoder:
         return np.split(ids, cuts[:-1])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, window: int = WINDOW_TOKENS) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most `capacity` tokens; a row for each piece, with its
     ids as little-endian unsigned 32-bit numbers.
@@ -132,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS,
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
-        encoder = Encoder(tokenizer_path)
+        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 
