@@ -19,11 +19,10 @@ SMALL = 12
 
 
 def regions(signatures: DataFrame, trees: int, depth: int, base: int) -> DataFrame:
-    """(id, tree, key, rest) for each order of signatures (id, signature: array of trees * depth ints): the
-    key of the row's region at depth `base` and the values that deepen it."""
-    order = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.slice("signature", t * depth + 1, depth).alias("values"))))
-    rows = signatures.select("id", order.alias("o")).select("id", "o.tree", "o.values")
-    return rows.select("id", F.xxhash64("tree", *[F.get("values", F.lit(i)) for i in range(base)]).alias("key"), F.slice("values", base + 1, max(1, depth - base)).alias("rest"))
+    """(id, tree, key) for each order of signatures (id, signature: array of trees * depth ints): the key of
+    the row's region at depth `base`."""
+    keys = F.array(*[F.xxhash64(F.lit(t), *[F.get("signature", F.lit(t * depth + i)) for i in range(base)]) for t in range(trees)])
+    return signatures.select("id", F.posexplode(keys).alias("tree", "key"))
 
 
 def _crowd(rows: DataFrame) -> DataFrame:
@@ -49,7 +48,8 @@ def candidates(signatures: DataFrame, trees: int, depth: int, base: int, small:
         found.append(crowded.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")))
         if at == depth or crowded.isEmpty():
             break
-        deeper = crowded.select("id", F.xxhash64("key", F.get("rest", F.lit(0))).alias("key"), F.slice("rest", 2, max(1, depth - at)).alias("rest"))
+        value = F.get("signature", F.col("tree") * depth + at)
+        deeper = crowded.join(signatures, "id").select("id", "tree", F.xxhash64("key", value).alias("key"))
         live, at = cut(_crowd(deeper)), at + 1
     pairs = found[0]
     for more in found[1:]:

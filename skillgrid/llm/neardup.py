@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm import forest, graph
-from skillgrid.llm.scratch import cut
+from skillgrid.llm.scratch import cut, join_narrow
 from skillgrid.llm.vectext import mix, shingles, slices, words
 
 SHINGLE_WORDS = 5
@@ -85,8 +85,8 @@ def confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int =
     first; then only the remaining documents' sets are made and sent, once for each pair."""
     near = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     near = cut(near.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), width))
+    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = cut(shingle_sets(join_narrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi"), width))
     left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = near.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))

@@ -36,6 +36,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillgrid.llm import lines
+
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skillgrid.llm import secrets
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op3_language": op3_language,
     "op5_packing": op5_packing,
+    "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,

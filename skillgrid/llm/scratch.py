@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -29,3 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/skillgrid-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def join_narrow(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Joins with a table of a few numbers a row that was cut before: where its counted rows are few, wide
+    rows of `left` needn't be shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
