@@ -18,6 +18,13 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillgrid.llm import decontaminate
+
+    out = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), "shared", "total")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skillgrid.llm import language, sampling
 
@@ -80,6 +87,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
+    "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op5_packing": op5_packing,
     "op6_lines": op6_lines,
