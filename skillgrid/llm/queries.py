@@ -34,6 +34,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
+def op4_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skillgrid.llm import lmscore, sampling
+
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score(docs.withColumn("held_out", sampling.remainder("doc_id", 7) == 2))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
+    "op4_lmscore": op4_lmscore,
     "op5_packing": op5_packing,
     "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
