@@ -266,3 +266,16 @@ def examples(p: dict) -> dict[str, str]:
         "op_carreras_de_facultad": _sql(f"SELECT DISTINCT carrera, carrera_nombre FROM ofrece JOIN carrera USING (carrera) WHERE facultad = {p['facultad_id']}"),
         "op_silabos_de_competencia": _sql(f"SELECT DISTINCT codigo, sumilla FROM silabo WHERE curso IN (SELECT curso FROM cubre WHERE conocimiento = '{p['competencia_id']}')"),
     }
+
+
+def further(p: dict) -> dict[str, str]:
+    """SQL of the catalogue's counts and of the conversations and events."""
+    frames = ["carrera", "facultad", "curso", "conocimiento", "oferta", "empresa", "industria", "puesto", "silabo", "ofrece", "ensenia", "cubre", "dirige", "publica", "agrupa", "requiere", "ofrece_puesto"]
+    counts = " UNION ALL ".join([f"SELECT '{f}' AS frame, count(*) AS n FROM {f}" for f in frames] + ["SELECT 'define' AS frame, count(*) AS n FROM requiere"])
+    clean = "trim(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^a-z0-9]+', ' ', 'g'))"
+    return {
+        "catalogo_conteos": _sql(counts),
+        "conversaciones_bloques": "SELECT conv_id, CAST(p // 12 AS BIGINT) AS block, count(*) AS n_turns, count(*) = 12 AS complete, string_agg(role || ': ' || text, ' | ' ORDER BY p) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p FROM conversations) GROUP BY ALL",
+        "conversaciones_guarda": f"SELECT conv_id, turn, role, {clean} AS limpio, length(text) <= 500 AND NOT regexp_matches({clean}, 'ignora\\s+|olvida\\s+|ahora\\s+eres|jailbreak') AS aceptable, length(trim(text, E' \\t\\n\\r')) >= 10 AND length(text) <= 2000 AND NOT regexp_matches(text, '[一-鿿]') AS presentable FROM conversations",
+        "eventos_por_dia": "SELECT strftime(ts, '%Y-%m-%d') AS dia, event_type, count(*) AS n FROM events GROUP BY ALL",
+    }
