@@ -4,8 +4,8 @@ A signature holds several sorted orders (trees) of `depth` values each. Rows tha
 an order are nearer neighbours in it. Each region of an order, the rows that share a prefix, is first as deep
 as `base`; while it holds more than `small` rows it is split by the next value, so the depth adapts to how
 crowded the region is. All pairs of a small region are candidates. In a crowded one every row is paired with
-the region's least id at each depth, which links large groups of copies through one member, and the pairs
-that don't hold are tried again among themselves.
+the region's least id at each depth, which links large groups of copies through one member; rows that this
+leaves apart are tried again among themselves.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skillgrid.llm import graph
 from skillgrid.llm.scratch import cut
 
 SMALL = 12
@@ -60,22 +61,23 @@ def candidates(signatures: DataFrame, trees: int, depth: int, base: int, small:
 def links(signatures: DataFrame, trees: int, depth: int, base: int, verify, small: int = SMALL) -> DataFrame:  # noqa: ANN001
     """(a, b): the candidate pairs that verify(pairs) keeps.
 
-    In regions crowded at full depth, rows that weren't linked to the least id are compared with the least of
-    those left, until none is left."""
+    A region that is crowded at full depth and holds rows of several components gets more rounds: the rest is
+    compared with its least row, the rows of that row's component leave, and so on while two components are
+    left in a region. Regions whose rows are all connected, as those of copies are, need no round."""
     pairs, left = candidates(signatures, trees, depth, base, small)
-    good = cut(verify(pairs))
-    found = good
+    found = cut(verify(pairs))
     if left.isEmpty():
         return found
-    least = lambda rows: rows.join(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).filter("size > 1"), "key")
-    rows = least(left)
+    reach = graph.components(found)
+    rows = left.join(reach, "id", "left").select("id", "key", F.coalesce("component", "id").alias("part"))
     while True:
-        done = rows.join(good.select(F.col("a").alias("least"), F.col("b").alias("id")), ["least", "id"], "left_anti").filter("id > least")
-        rows = cut(least(done.select("id", "key")))
+        lead = rows.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.min(F.struct("id", "part")).alias("lead")).filter("first < last").select("key", "lead")
+        rows = cut(rows.join(lead, "key").filter(F.col("part") != F.col("lead.part")))
         if rows.isEmpty():
             return found
-        good = cut(verify(rows.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()))
-        found = found.unionByName(good)
+        a, b = F.col("lead.id"), F.col("id")
+        found = found.unionByName(cut(verify(rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())))
+        rows = rows.select("id", "key", "part")
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
