@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm.scratch import cut, join_narrow
+from skillgrid.llm.scratch import cut, join_narrow, quoted
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -103,5 +103,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE_WORDS, p
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows without an id stay."""
-    bad = cut(matches(docs, benchmark, width, percent).select(F.col("doc_id").alias("bad_id")).distinct())
-    return join_narrow(docs.withColumn("bad_id", F.col("doc_id").cast("long")), bad, "bad_id", "left_anti").select(*docs.columns)
+    bad = cut(matches(docs, benchmark, width, percent).select(F.col("doc_id").alias("__sg_bad")).distinct())
+    return join_narrow(docs.withColumn("__sg_bad", F.col("doc_id").cast("long")), bad, "__sg_bad", "left_anti").select(*quoted(docs.columns))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm import sampling
+from skillgrid.llm.scratch import without_names
 from skillgrid.llm.vectext import slices
 
 WIDTHS = (3, 4)
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred, lang_score (calibrated probability, 0 to 1) and lang_accepted to docs; text is the only
-    column that is looked at, all others pass through.
+    column that is looked at; all others pass through, but for any of these three names.
 
     Texts that are null or have no letter get `und` and 0 and aren't accepted, nor are texts whose score lies
     under the model's threshold. Without any learned language every text is `und`. Equal texts get equal
@@ -161,10 +162,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     guess = F.arrow_udf(run, "lang string, score double")
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    named = docs.withColumn("lang_guess", guess(F.col("text")))
-    return (
-        named.withColumn("lang_pred", F.when(letters, F.col("lang_guess.lang")).otherwise(UNKNOWN))
-        .withColumn("lang_score", F.when(letters, F.col("lang_guess.score")).otherwise(0.0))
-        .withColumn("lang_accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= model.threshold))
-        .drop("lang_guess")
-    )
+    named = docs.withColumn("__sg_guess", guess(F.col("text")))
+    name = F.when(letters, F.col("__sg_guess.lang")).otherwise(UNKNOWN)
+    score = F.when(letters, F.col("__sg_guess.score")).otherwise(0.0)
+    kept = without_names(docs.columns, ("lang_pred", "lang_score", "lang_accepted"))
+    return named.select(*kept, name.alias("lang_pred"), score.alias("lang_score"), ((name != UNKNOWN) & (score >= model.threshold)).alias("lang_accepted"))

@@ -40,3 +40,13 @@ def join_narrow(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     """Joins with a table of a few numbers a row that was cut before: where its counted rows are few, wide
     rows of `left` needn't be shuffled."""
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as select() takes them, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def without_names(names: list[str], taken: tuple[str, ...]) -> list[str]:
+    """The names, quoted, less those that new columns take."""
+    return quoted([n for n in names if n.lower() not in taken])
