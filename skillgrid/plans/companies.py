@@ -9,7 +9,7 @@ from skillgrid.functions.text import is_leadership, tidy
 from skillgrid.operators.algebra import asc, desc, distinct_offers, gate, only_if_available, share, top, top_of_each, with_total
 from skillgrid.sources.graph import GraphContext
 
-_AVAILABLE = F.lit("available").alias
+_available = lambda: F.lit("available").alias("availability")
 #: Least offers of a company and least offers of a pair for a lift.
 COMPANY_SUPPORT, PAIR_SUPPORT = 5, 2
 # What a status row says.
@@ -32,7 +32,7 @@ def _led(rows: DataFrame, *first: str) -> DataFrame:
     rows = top(with_total(rows, "ofertas"), 20, desc("ofertas"), asc("empresa_nombre"), asc("empresa"))
     return rows.orderBy("rank").select(
         *first, F.col("empresa").alias("empresa_id"), F.col("empresa_nombre").alias("empresa"), F.col("conocimiento").alias("conocimiento_id"), F.col("conocimiento_nombre").alias("conocimiento_lider"), F.col("ofertas").alias("value"), "ofertas",
-        "ofertas_con_conocimiento_lider", share("ofertas", "total_assignments").alias("assignment_share"), "rank", F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _AVAILABLE("availability"),
+        "ofertas_con_conocimiento_lider", share("ofertas", "total_assignments").alias("assignment_share"), "rank", F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _available(),
     )
 
 
@@ -61,7 +61,7 @@ def distinctive(g: GraphContext) -> DataFrame:
     rows = top(rows.withColumn("lift", lift), 20, desc("lift"), desc("numerator_n"), asc("empresa_nombre"), asc("conocimiento_nombre"), asc("empresa"), asc("conocimiento"))
     return rows.orderBy("rank").select(
         F.col("empresa").alias("empresa_id"), F.col("empresa_nombre").alias("empresa"), F.col("conocimiento").alias("conocimiento_id"), F.col("conocimiento_nombre").alias("conocimiento"), F.col("lift").alias("value"), "lift",
-        "numerator_n", "denominator_n", "global_numerator_n", "global_denominator_n", "rank", _AVAILABLE("availability"), F.lit(COMPANY_SUPPORT).cast("long").alias("minimum_support_n"),
+        "numerator_n", "denominator_n", "global_numerator_n", "global_denominator_n", "rank", _available(), F.lit(COMPANY_SUPPORT).cast("long").alias("minimum_support_n"),
     )
 
 
@@ -140,7 +140,7 @@ def _functions(g: GraphContext, offers: DataFrame, first: list[Column | str], na
     rows = rows.orderBy(F.desc("total_assignments"), asc("tipo"), "rank").limit(20)
     return rows.select(
         *first, F.col("tipo").alias("tipo_empresa_id"), F.col("tipo").alias("tipo_empresa"), "titulo_publicado", F.col("ofertas").alias("value"), "ofertas", share("ofertas", "total_assignments").alias("assignment_share"), "rank",
-        F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _AVAILABLE("availability"),
+        F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _available(),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skillgrid.operators.algebra import asc, desc, distinct_offers, nothing, share, top, top_of_each, with_total
 from skillgrid.sources.graph import GraphContext
 
-_AVAILABLE = F.lit("available").alias
+_available = lambda: F.lit("available").alias("availability")
 
 
 def _series(months: DataFrame, offers: DataFrame, *first: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _ranked_careers(df: DataFrame, *first: str) -> DataFrame:
     rows = top(with_total(df, "ofertas"), 14, desc("ofertas"), asc("carrera_nombre"), asc("carrera"))
     return rows.orderBy("rank").select(
         *first, F.col("carrera").alias("carrera_id"), F.col("carrera_nombre").alias("carrera"), F.col("ofertas").alias("value"), "ofertas", share("ofertas", "total_assignments").alias("assignment_share"),
-        "rank", F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _AVAILABLE("availability"),
+        "rank", F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _available(),
     )
 
 
@@ -90,7 +90,7 @@ def industries(g: GraphContext) -> DataFrame:
     return rows.orderBy("rank").select(
         F.col("carrera").alias("carrera_id"), F.col("carrera_nombre").alias("carrera"), F.col("industria").alias("industria_id"), F.col("industria_nombre").alias("industria"),
         F.col("ofertas").alias("value"), "ofertas", "empresas", share("ofertas", "total_assignments").alias("assignment_share"), "rank",
-        F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _AVAILABLE("availability"), "industrias_activas",
+        F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _available(), "industrias_activas",
     )
 
 
@@ -101,14 +101,14 @@ def industries_of(g: GraphContext, carrera_id: object, desde: str, hasta: str) -
     return rows.orderBy("rank").select(
         F.col("carrera").alias("carrera_id"), F.col("carrera_nombre").alias("carrera"), F.col("industria").alias("industria_id"), F.col("industria_nombre").alias("industria"),
         F.col("ofertas").alias("value"), "ofertas", "empresas", share("ofertas", "total_assignments").alias("assignment_share"), "rank",
-        F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _AVAILABLE("availability"),
+        F.col("ofertas").alias("numerator_n"), F.col("total_assignments").alias("denominator_n"), "total_assignments", _available(),
     )
 
 
 def _known(rows: DataFrame, *first: str) -> DataFrame:
     return rows.select(
         *first, F.col("conocimiento").alias("conocimiento_id"), F.col("conocimiento_nombre").alias("conocimiento"), "dimension", F.col("ofertas").alias("value"), "ofertas",
-        share("ofertas", "total").alias("percentage"), "rank", F.col("ofertas").alias("numerator_n"), F.col("total").alias("denominator_n"), _AVAILABLE("availability"),
+        share("ofertas", "total").alias("percentage"), "rank", F.col("ofertas").alias("numerator_n"), F.col("total").alias("denominator_n"), _available(),
     )
 
 
