@@ -26,7 +26,7 @@ from skillgrid.llm.vectext import mix, powers, prefix_sums, slices
 THRESHOLD = 50
 GRAM = 24
 #: Strings that a pass over a key range expands at once, if they don't all share one first digit.
-EXPANDED = 400_000
+EXPANDED = 150_000
 
 _P_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -173,6 +173,7 @@ def _earlier(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, count: np.ndarr
     alone = new & np.concatenate([new[1:], [True]])[: len(order)]
     order, group = order[~alone], np.cumsum(new)[~alone]
     words = -(-threshold // 8)
+    every = np.lib.stride_tricks.sliding_window_view(data, threshold)  # a view: nothing is copied
     total = np.cumsum(count[order])
     lo = 0
     while lo < len(order):
@@ -186,7 +187,7 @@ def _earlier(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, count: np.ndarr
         first = (group[lo:hi][run] << 8) | (at[some].astype(np.int64)[run] - k)
         rows, _ = equal_groups(np.zeros((len(run), 0), np.uint64), first)
         strings = np.zeros((len(rows), words * 8), np.uint8)
-        strings[:, :threshold] = data[(begin[some][run[rows]] + k[rows])[:, None] + np.arange(threshold)]
+        strings[:, :threshold] = every[begin[some][run[rows]] + k[rows]]
         equal, number = equal_groups(strings.view(">u8").astype(np.uint64), first[rows])
         if len(equal):
             rows = rows[equal]
