@@ -53,7 +53,7 @@ def fingerprints(sets: DataFrame, key: list[str]) -> DataFrame:
 def blocks(radius: int = RADIUS) -> Column:
     """{block, value}: the parts of a fingerprint of which one agrees within the radius."""
     edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    part = lambda a, b: F.shiftrightunsigned("print", a).bitwiseAND((1 << (b - a)) - 1)
+    part = lambda a, b: F.shiftrightunsigned("print", a).bitwiseAND((1 << (b - a)) - 1 if b - a < BITS else -1)
     return F.array(*[F.struct(F.lit(i).alias("block"), part(a, b).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 

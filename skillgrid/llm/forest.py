@@ -1,11 +1,11 @@
-"""Candidate pairs by an LSH forest, as DataFrame jobs.
-
-A signature holds several sorted orders (trees) of `depth` values each. Rows that agree on a longer prefix of
-an order are nearer neighbours in it. Each region of an order, the rows that share a prefix, is first as deep
-as `base`; while it holds more than `small` rows it is split by the next value, so the depth adapts to how
-crowded the region is. All pairs of a small region are candidates. In a crowded one every row is paired with
-the region's least id at each depth, which links large groups of copies through one member; rows that this
-leaves apart are tried again among themselves.
+"""Links between similar rows by an LSH forest, as DataFrame jobs.
+
+A signature holds several sorted orders (trees) of some values each. Rows that agree on a longer prefix of an
+order are nearer neighbours in it. A region of an order, the rows that share a prefix, is first as deep as
+`base`. All pairs of a small region are candidates; in a crowded one every row is paired with the region's
+least id, which links large groups of copies through one member. Crowded regions whose rows the verified
+pairs have not connected are then split by further values, more at each round, so that the depth adapts to how
+crowded and how mixed a region is, and end as small ones.
 """
 
 from __future__ import annotations
@@ -39,45 +39,60 @@ def _within(rows: DataFrame) -> DataFrame:
     return ids.select(pair.alias("p")).select("p.a", "p.b")
 
 
-def candidates(signatures: DataFrame, trees: int, depth: int, base: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(a, b) pairs to compare, a < b, and (id, key) of regions still crowded at full depth."""
-    live = cut(_crowd(regions(signatures, trees, depth, base)))
-    found, at = [], base
-    while True:
-        found.append(_within(live.filter(F.col("size") <= small)))
-        crowded = live.filter(F.col("size") > small)
-        found.append(crowded.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")))
-        if at == depth or crowded.isEmpty():
-            break
-        value = F.get("signature", F.col("tree") * depth + at)
-        deeper = crowded.join(signatures, "id").select("id", "tree", F.xxhash64("key", value).alias("key"))
-        live, at = cut(_crowd(deeper)), at + 1
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct(), crowded.select("id", "key")
+def _deeper(rows: DataFrame, signatures: DataFrame, trees: int, depth: int, at: int, more: int) -> DataFrame:
+    """Regions that also share the values at .. at + more - 1 of their order, which goes on with the next
+    orders' values after its own."""
+    value = lambda k: F.get("signature", (F.col("tree") * depth + (at + k)) % (trees * depth))
+    return rows.join(signatures, "id").select("id", "tree", F.xxhash64("key", *[value(k) for k in range(more)]).alias("key"))
+
+
+def _pairs(live: DataFrame, small: int) -> DataFrame:
+    star = live.filter((F.col("size") > small) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return _within(live.filter(F.col("size") <= small)).unionByName(star).distinct()
 
 
 def links(signatures: DataFrame, trees: int, depth: int, base: int, verify, small: int = SMALL) -> DataFrame:  # noqa: ANN001
-    """(a, b): the candidate pairs that verify(pairs) keeps.
-
-    A region that is crowded at full depth and holds rows of several components gets more rounds: the rest is
-    compared with its least row, the rows of that row's component leave, and so on while two components are
-    left in a region. Regions whose rows are all connected, as those of copies are, need no round."""
-    pairs, left = candidates(signatures, trees, depth, base, small)
-    found = cut(verify(pairs))
-    if left.isEmpty():
-        return found
-    reach = graph.components(found)
-    rows = left.join(reach, "id", "left").select("id", "key", F.coalesce("component", "id").alias("part"))
+    """(a, b): pairs, a < b, that share a region and that verify(pairs) keeps.
+
+    Rows whose whole signatures agree can't be split further; those that no link connects are compared with the
+    least of them, the rows of its component leave, and so on while two components are left."""
+    live, at, more = cut(_crowd(regions(signatures, trees, depth, base))), base, 1
+    found = cut(verify(_pairs(live, small)))
     while True:
-        lead = rows.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last"), F.min(F.struct("id", "part")).alias("lead")).filter("first < last").select("key", "lead")
-        rows = cut(rows.join(lead, "key").filter(F.col("part") != F.col("lead.part")))
+        rows = live.filter(F.col("size") > small).select("id", "tree", "key")
         if rows.isEmpty():
             return found
+        reach = graph.components(found)
+        part = F.coalesce("component", "id").alias("part")
+        rows = rows.join(reach, "id", "left").select("id", "tree", "key", part)
+        mixed = rows.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last").select("key")
+        rows = cut(rows.join(mixed, "key", "left_semi"))
+        if rows.isEmpty():
+            return found
+        if at == trees * depth:
+            return found.unionByName(_led(rows, verify))
+        more = min(more, trees * depth - at)
+        live = cut(_crowd(_deeper(rows.select("id", "tree", "key"), signatures, trees, depth, at, more)))
+        of = lambda k: reach.select(F.col("id").alias(k), F.col("component").alias(f"part_{k}"))
+        apart = _pairs(live, small).join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+        found = cut(found.unionByName(verify(apart.select("a", "b"))))
+        at, more = at + more, 2 * more
+
+
+def _led(rows: DataFrame, verify) -> DataFrame:  # noqa: ANN001
+    """Verified pairs of rows (id, key, part) of different parts with the least row of a region, then with the
+    least of those left."""
+    out = None
+    rows = rows.select("id", "key", "part")
+    while True:
+        lead = rows.groupBy("key").agg(F.min(F.struct("id", "part")).alias("lead"))
+        rows = cut(rows.join(lead, "key").filter(F.col("part") != F.col("lead.part")))
         a, b = F.col("lead.id"), F.col("id")
-        found = found.unionByName(cut(verify(rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())))
+        good = cut(verify(rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()))
+        out = good if out is None else out.unionByName(good)
         rows = rows.select("id", "key", "part")
+        if rows.isEmpty():
+            return out
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
