@@ -51,11 +51,22 @@ def _pairs(live: DataFrame, small: int) -> DataFrame:
     return _within(live.filter(F.col("size") <= small)).unionByName(star).distinct()
 
 
-def links(signatures: DataFrame, trees: int, depth: int, base: int, verify, small: int = SMALL) -> DataFrame:  # noqa: ANN001
-    """(a, b): pairs, a < b, that share a region and that verify(pairs) keeps.
-
-    Rows whose whole signatures agree can't be split further; those that no link connects are compared with the
-    least of them, the rows of its component leave, and so on while two components are left."""
+def _likely(pairs: DataFrame, signatures: DataFrame, values: int, percent: int) -> DataFrame:
+    """Pairs whose signatures agree about as often as similar rows' do: five standard deviations less is
+    enough."""
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / values) ** 0.5
+    of = lambda k: signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda t: t))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(same >= least * values).select("a", "b")
+
+
+def links(signatures: DataFrame, trees: int, depth: int, base: int, verify, percent: int = 75, small: int = SMALL) -> DataFrame:  # noqa: ANN001
+    """(a, b): pairs, a < b, that share a region and that verify(pairs) keeps; percent is the similarity that
+    it asks for.
+
+    A crowded region in which at most `small` rows are outside its main component is settled by comparing
+    those with all the region's rows. Rows whose whole signatures agree can't be split further; those that no
+    link connects are compared with the least of them, the rows of its component leave, and so on."""
     live, at, more = cut(_crowd(regions(signatures, trees, depth, base))), base, 1
     found = cut(verify(_pairs(live, small)))
     while True:
@@ -63,14 +74,19 @@ def links(signatures: DataFrame, trees: int, depth: int, base: int, verify, smal
         if rows.isEmpty():
             return found
         reach = graph.components(found)
-        part = F.coalesce("component", "id").alias("part")
-        rows = rows.join(reach, "id", "left").select("id", "tree", "key", part)
-        mixed = rows.groupBy("key").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last").select("key")
-        rows = cut(rows.join(mixed, "key", "left_semi"))
+        rows = rows.join(reach, "id", "left").select("id", "tree", "key", F.coalesce("component", "id").alias("part"))
+        counts = rows.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"))
+        mixed = counts.select("key", F.col("most.part").alias("main"), (F.col("n") - F.col("most.n")).alias("others")).filter("others > 0")
+        rows = cut(rows.join(mixed, "key"))
         if rows.isEmpty():
             return found
+        few = rows.filter(F.col("others") <= small)
+        lone = few.filter(F.col("part") != F.col("main")).select("key", F.col("id").alias("x"), F.col("part").alias("part_x"))
+        across = lone.join(few.select("key", F.col("id").alias("y"), "part"), "key").filter(F.col("part_x") != F.col("part"))
+        found = cut(found.unionByName(verify(_likely(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signatures, trees * depth, percent))))
+        rows = rows.filter(F.col("others") > small)
         if at == trees * depth:
-            return found.unionByName(_led(rows, verify))
+            return found if rows.isEmpty() else found.unionByName(_led(rows, verify))
         more = min(more, trees * depth - at)
         live = cut(_crowd(_deeper(rows.select("id", "tree", "key"), signatures, trees, depth, at, more)))
         of = lambda k: reach.select(F.col("id").alias(k), F.col("component").alias(f"part_{k}"))

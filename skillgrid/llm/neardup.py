@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     node_rows = full.join(nodes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
     marks = cut(node_rows.select(F.col("doc_id").alias("id"), "n", "signature"))
     confirm = lambda pairs: confirmed(pairs, marks.select("id", "n"), docs, width, percent)
-    links = forest.links(marks.select("id", "signature"), TREES, DEPTH, BASE, confirm)
+    links = forest.links(marks.select("id", "signature"), TREES, DEPTH, BASE, confirm, percent)
     reach = graph.components(links)
     placed = every.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").join(reach, "id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id"))
