@@ -20,15 +20,26 @@ def mapped(a: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Place of the i-th set bit of each byte.
+_PLACES = np.zeros((256, 8), dtype=np.uint8)
+for _byte in range(256):
+    for _i, _bit in enumerate(x for x in range(8) if _byte >> x & 1):
+        _PLACES[_byte, _i] = _bit
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th (from 0) set bit of little-endian 64-bit words; before: set bits before each word."""
     out = np.empty(len(k), dtype=np.int64)
     for lo in range(0, len(k), _BATCH):
         part = k[lo : lo + _BATCH]
         w = np.searchsorted(before, part, side="right") - 1
-        bits = np.unpackbits(words[w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        seen = np.cumsum(bits, axis=1, dtype=np.uint8)
-        out[lo : lo + _BATCH] = w * 64 + (seen <= (part - before[w])[:, None].astype(np.uint8)).sum(axis=1)
+        octets = words[w].view(np.uint8).reshape(-1, 8)
+        seen = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
+        rest = (part - before[w]).astype(np.uint8)
+        octet = (seen <= rest[:, None]).sum(axis=1)
+        row = np.arange(len(part))
+        rest -= np.where(octet > 0, seen[row, octet - 1], 0).astype(np.uint8)
+        out[lo : lo + _BATCH] = w * 64 + octet * 8 + _PLACES[octets[row, octet], rest]
     return out
 
 
@@ -64,20 +75,20 @@ class EliasFano:
         if not self.n or not len(q):
             return out
         bucket, low = q >> self.shift, (q & ((1 << self.shift) - 1)).astype(self.low.dtype)
-        bit = np.zeros(len(q), dtype=np.int64)  # where the bucket's ones begin
+        zeros = ~self.high
+        first = np.zeros(len(q), dtype=np.int64)
         later = bucket > 0
-        bit[later] = _select(~self.high, self.zeros, bucket[later] - 1) + 1
-        place = bit - bucket
-        open_ = np.arange(len(q))
-        while len(open_):
-            b = bit[open_]
-            there = ((self.high[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            open_ = open_[there]
-            same = self.low[place[open_]] == low[open_]
-            out[open_[same]] = place[open_[same]]
-            open_ = open_[~same]
-            bit[open_] += 1
-            place[open_] += 1
+        first[later] = _select(zeros, self.zeros, bucket[later] - 1) + 1 - bucket[later]
+        end = _select(zeros, self.zeros, bucket) - bucket
+        stop = end.copy()
+        while (open_ := np.flatnonzero(first < stop)).size:  # the low bits of a bucket are in order
+            middle = (first[open_] + stop[open_]) >> 1
+            less = self.low[middle] < low[open_]
+            first[open_[less]] = middle[less] + 1
+            stop[open_[~less]] = middle[~less]
+        there = np.flatnonzero(first < end)
+        there = there[self.low[first[there]] == low[there]]
+        out[there] = first[there]
         return out
 
 

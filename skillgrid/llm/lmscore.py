@@ -21,6 +21,8 @@ from skillgrid.llm.vectext import mix, slices, words
 
 #: Weight of the shorter history, in counts, for pairs and triples.
 MU = (200.0, 20.0)
+#: Bytes of text in a block; a task holds about fifty times as many while it scores them.
+BLOCK_BYTES = 5 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _TOP = np.uint64(64 - blocks.KEY_BITS)
 
@@ -95,7 +97,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     null are learned from. Repeated rows count as often as they appear and score alike; with nothing to learn
     from, all tokens are unknown; an empty table gives an empty one; other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    n = blocks.block_count(docs)
+    n = blocks.block_count(docs, BLOCK_BYTES)
     tokens, types = totals(docs.filter(~F.col("held_out")), n)
     total = float(tokens + types + 1)
     dealt = docs.select(blocks.block_of(n).alias("block"), "doc_id", "text", "held_out")
