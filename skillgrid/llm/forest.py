@@ -60,14 +60,15 @@ def _likely(pairs: DataFrame, signatures: DataFrame, values: int, percent: int)
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(same >= least * values).select("a", "b")
 
 
-def links(signatures: DataFrame, trees: int, depth: int, base: int, verify, percent: int = 75, small: int = SMALL) -> DataFrame:  # noqa: ANN001
+def links(signatures: DataFrame, trees: int, depth: int, base: int, prepare, percent: int = 75, small: int = SMALL) -> DataFrame:  # noqa: ANN001
     """(a, b): pairs, a < b, that share a region and that verify(pairs) keeps; percent is the similarity that
-    it asks for.
+    it asks for. prepare(ids), called once with the rows that share any region, makes verify.
 
     A crowded region in which at most `small` rows are outside its main component is settled by comparing
     those with all the region's rows. Rows whose whole signatures agree can't be split further; those that no
     link connects are compared with the least of them, the rows of its component leave, and so on."""
-    live, at, more = cut(_crowd(regions(signatures, trees, depth, base))), base, 1
+    live, at, more = cut(_crowd(regions(signatures, trees, depth, base))), base, base
+    verify = prepare(cut(live.select("id").distinct()))
     found = cut(verify(_pairs(live, small)))
     while True:
         rows = live.filter(F.col("size") > small).select("id", "tree", "key")

@@ -80,17 +80,20 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, n long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Pairs whose sizes alone rule it out go
-    first; then only the remaining documents' sets are made and sent, once for each pair."""
-    near = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    near = cut(near.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    wanted = cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def confirmer(ids: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT):  # noqa: ANN201
+    """A function that keeps those of given pairs (a, b) of ids whose full shingle sets are similar enough. The
+    sets are made once; pairs whose sizes alone rule it out send no sets."""
+    wanted = ids.withColumnRenamed("id", "doc_id")
     sets = cut(shingle_sets(join_narrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi"), width))
-    left, right = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = near.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(forest.similar(shared, F.size("sa"), F.size("sb"), percent)).select("a", "b").distinct()
+    of = lambda k, column: sets.select(F.col("id").alias(k), F.col(column).alias(f"{column}_{k}"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        both = near.select("a", "b").join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
+        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        return both.filter(forest.similar(shared, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b").distinct()
+
+    return confirm
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -105,9 +108,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     full = every.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
     node_rows = full.join(nodes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    marks = cut(node_rows.select(F.col("doc_id").alias("id"), "n", "signature"))
-    confirm = lambda pairs: confirmed(pairs, marks.select("id", "n"), docs, width, percent)
-    links = forest.links(marks.select("id", "signature"), TREES, DEPTH, BASE, confirm, percent)
+    marks = cut(node_rows.select(F.col("doc_id").alias("id"), "signature"))
+    links = forest.links(marks, TREES, DEPTH, BASE, lambda ids: confirmer(ids, docs, width, percent), percent)
     reach = graph.components(links)
     placed = every.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").join(reach, "id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id"))
