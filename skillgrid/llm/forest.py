@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillgrid.llm import graph
-from skillgrid.llm.scratch import cut
+from skillgrid.llm.scratch import cut, join_narrow
 
 SMALL = 12
 
@@ -27,9 +27,10 @@ def regions(signatures: DataFrame, trees: int, depth: int, base: int) -> DataFra
 
 
 def _crowd(rows: DataFrame) -> DataFrame:
-    """Adds the size and least id of the rows' regions and drops rows that are alone."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
-    return rows.join(sizes, "key")
+    """Adds the size and least id of the rows' regions and drops rows that are alone. Most are, so that the
+    regions left are often few enough to be sent to the rows."""
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1"))
+    return join_narrow(rows, sizes, "key")
 
 
 def _within(rows: DataFrame) -> DataFrame:
