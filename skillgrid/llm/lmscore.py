@@ -2,8 +2,9 @@
 
 Counts are taken over all training documents. A trie of the whole corpus would not fit a task, so each block
 of documents gets the part of it that its own texts can ask for: the block sends its distinct n-grams with
-their counts to key ranges, which add up what all blocks sent and answer with the totals. The block then
-builds its trie and scores its documents with it. A block's trie is bounded by its text, whatever the corpus.
+their counts to key ranges, which add up what all blocks sent and answer with the totals. A triple is sent only if
+other blocks have both its pairs, since no other block can have it else. The block then builds its trie and
+scores its documents with it. A block's trie is bounded by its text, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -103,21 +104,56 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
     dealt = docs.select(blocks.block_of(n).alias("block"), "doc_id", "text", "held_out")
 
     def ask(table: pa.Table) -> pa.Table:
-        number = table.column("block")[0].as_py()
+        keys, begin, learned = stream_of(table)
+        at = _starts(len(keys), begin, 2)
+        return sent(table, [(1, *_tally(keys, learned)), (2, *_tally(_pair(keys[at], keys[at + 1]), learned[at]))])
+
+    def ask_triples(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(table):
+            return asked_schema.empty_table()
+        keys, begin, learned = stream_of(table)
+        at, _, shared = pairs_of(keys, begin, answers_of(replies))
+        elsewhere = np.zeros(len(keys), dtype=bool)
+        elsewhere[at] = shared
+        at = _starts(len(keys), begin, 3)
+        at = at[elsewhere[at] & elsewhere[at + 1]]
+        return sent(table, [(3, *_tally(_triple(keys[at], keys[at + 1], keys[at + 2]), learned[at]))])
+
+    def stream_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, begin = _stream(table.column("text"))
-        learned = np.repeat(~np.array(table.column("held_out").to_pylist(), dtype=bool), np.diff(begin))
-        out: list[tuple] = []
-        for order in (1, 2, 3):
-            at = _starts(len(keys), begin, order)
-            key = keys if order == 1 else _pair(keys[at], keys[at + 1]) if order == 2 else _triple(keys[at], keys[at + 1], keys[at + 2])
-            distinct, counts = _tally(key, learned[at])
+        return keys, begin, np.repeat(~np.array(table.column("held_out").to_pylist(), dtype=bool), np.diff(begin))
+
+    def answers_of(replies: pa.Table) -> dict[tuple[int, int], bytes]:
+        return {(r["order"], r["range"]): r["counts"] for r in replies.to_pylist()}
+
+    def counted(distinct: np.ndarray, order: int, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the distinct, sorted keys that the block has asked for, and whether other blocks
+        asked for them too."""
+        edges, out = _cuts(distinct, order, n), np.zeros(len(distinct), dtype=np.int64)
+        for s in range(n):
+            if edges[s] < edges[s + 1]:
+                out[edges[s] : edges[s + 1]] = blocks.unpack_counts(answers[order, s])
+        return out >> 1, (out & 1).astype(bool)
+
+    def pairs_of(keys: np.ndarray, begin: np.ndarray, answers: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs of tokens, for each its training count and whether other blocks have it too. A
+        triple can be in other blocks only if both its pairs are."""
+        at = _starts(len(keys), begin, 2)
+        distinct, which = np.unique(_pair(keys[at], keys[at + 1]), return_inverse=True)
+        every, shared = counted(distinct, 2, answers)
+        return at, every[which], shared[which]
+
+    def sent(table: pa.Table, tallies: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+        number, out = table.column("block")[0].as_py(), []
+        for order, distinct, counts in tallies:
             edges = _cuts(distinct, order, n)
             for s in range(n):
                 a, b = edges[s], edges[s + 1]
                 if a < b:
                     out.append((number, s, order, blocks.pack_keys(distinct[a:b]), blocks.pack_counts(counts[a:b])))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["block", "range", "order", "keys", "counts"])
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(asked_schema.types)], schema=asked_schema)
+
+    asked_schema = pa.schema([("block", pa.int32()), ("range", pa.int32()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
         order = np.array(table.column("order").to_pylist())
@@ -127,7 +163,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
             keys = [blocks.unpack_keys(table.column("keys")[i].as_py()) for i in rows]
             counts = np.concatenate([blocks.unpack_counts(table.column("counts")[i].as_py()) for i in rows])
             _, which = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(which, counts).astype(np.int64)[which]
+            sums = ((np.bincount(which, counts).astype(np.int64) << 1) | (np.bincount(which) > 1))[which]
             for i, part in zip(rows, np.split(sums, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
                 reply[i] = blocks.pack_counts(part)
         return pa.table([table.column("block"), table.column("range"), table.column("order"), pa.array(reply, pa.binary())], ["block", "range", "order", "counts"])
@@ -136,31 +172,28 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
         kinds = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
         if not len(table):
             return pa.schema(kinds).empty_table()
-        answers = {(r["order"], r["range"]): r["counts"] for r in replies.to_pylist()}
-
-        def counted(keys: np.ndarray, order: int) -> np.ndarray:
-            """Training counts of n-grams by their keys."""
-            distinct, which = np.unique(keys, return_inverse=True)
-            edges, out = _cuts(distinct, order, n), np.zeros(len(distinct), dtype=np.int64)
-            for s in range(n):
-                if edges[s] < edges[s + 1]:
-                    out[edges[s] : edges[s + 1]] = blocks.unpack_counts(answers[order, s])
-            return out[which]
-
-        keys, begin = _stream(table.column("text"))
+        answers = answers_of(replies)
+        keys, begin, learned = stream_of(table)
         vocabulary = np.unique(keys)
         w = np.searchsorted(vocabulary, keys)
-        single = counted(vocabulary, 1)
+        single, _ = counted(vocabulary, 1, answers)
         size = len(vocabulary)
-        at2, at3 = _starts(len(keys), begin, 2), _starts(len(keys), begin, 3)
+        at2, every, shared = pairs_of(keys, begin, answers)
+        at3 = _starts(len(keys), begin, 3)
         pairs, of2 = np.unique(w[at2] * size + w[at2 + 1], return_inverse=True)
         a, b = pairs // size, pairs % size
-        pair_of = np.zeros(len(keys), dtype=np.int64)
-        pair_of[at2] = of2
+        n2 = np.zeros(len(pairs), dtype=np.int64)
+        n2[of2] = every
+        pair_of, elsewhere = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        pair_of[at2], elsewhere[at2] = of2, shared
         triples, of3 = np.unique(pair_of[at3] * size + w[at3 + 2], return_inverse=True)
         k, c = triples // size, triples % size
-        n2 = counted(_pair(vocabulary[a], vocabulary[b]), 2) if len(pairs) else np.zeros(0, np.int64)
-        n3 = counted(_triple(vocabulary[a[k]], vocabulary[b[k]], vocabulary[c]), 3) if len(triples) else np.zeros(0, np.int64)
+        n3 = np.bincount(of3, learned[at3], len(triples)).astype(np.int64)
+        asked = np.zeros(len(triples), dtype=bool)
+        asked[of3] = elsewhere[at3] & elsewhere[at3 + 1]
+        distinct, which = np.unique(_triple(vocabulary[a[k[asked]]], vocabulary[b[k[asked]]], vocabulary[c[asked]]), return_inverse=True)
+        n3[asked] = counted(distinct, 3, answers)[0][which]
+        del keys, learned, pair_of, elsewhere, every, shared, asked, distinct, which
         some2, some3 = n2 > 0, n3 > 0
         rank = np.cumsum(some2) - 1
         trie = Trie(single, (a[some2], b[some2]), n2[some2], (rank[k[some3]], c[some3]), n3[some3], total, mu)
@@ -176,6 +209,7 @@ def score(docs: DataFrame, mu: tuple[float, float] = MU) -> DataFrame:
         out = [table.column("doc_id"), table.column("held_out"), pa.array(length), pa.array(sums((single > 0)[w].astype(np.int64))), pa.array(np.full(len(table), tokens)), pa.array(sums(base)), pa.array(sums(p))]
         return pa.table(out, schema=pa.schema(kinds))
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, range int, order int, keys binary, counts binary")
-    replies = asked.groupBy("range").applyInArrow(answer, "block int, range int, order int, counts binary")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    packed, reply = "block int, range int, order int, keys binary, counts binary", "block int, range int, order int, counts binary"
+    replies = dealt.groupBy("block").applyInArrow(ask, packed).groupBy("range").applyInArrow(answer, reply)
+    triples = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask_triples, packed).groupBy("range").applyInArrow(answer, reply)
+    return dealt.groupBy("block").cogroup(replies.unionByName(triples).groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
