@@ -26,7 +26,9 @@ from skillgrid.llm.vectext import mix, powers, prefix_sums, slices
 THRESHOLD = 50
 GRAM = 24
 #: Strings that a pass over a key range expands at once, if they don't all share one first digit.
-EXPANDED = 150_000
+EXPANDED = 80_000
+#: Bytes of text in a block.
+BLOCK_BYTES = 1 << 22
 
 _P_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -217,7 +219,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if not GRAM + 2 <= threshold <= GRAM + 31:
         raise ValueError("this threshold doesn't suit the first digit's width")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = blocks.block_count(docs)
+    n = blocks.block_count(docs, BLOCK_BYTES)
     docs = docs.withColumn("h", F.xxhash64("text"))
     marks = _copies(docs, threshold).select("doc_id", F.lit("").alias("text"), "h", F.lit(True).alias("copied"))
     dealt = docs.withColumn("copied", F.lit(False)).unionByName(marks).select(blocks.block_of(n).alias("block"), "doc_id", "text", "h", "copied")
