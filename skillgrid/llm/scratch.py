@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of a narrow table that may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def join_narrow(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
