@@ -23,7 +23,7 @@ from skillgrid.llm.vectext import mix, slices, words
 #: Weight of the shorter history, in counts, for pairs and triples.
 MU = (200.0, 20.0)
 #: Bytes of text in a block; a task holds about fifty times as many while it scores them.
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 7 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _TOP = np.uint64(64 - blocks.KEY_BITS)
 
