@@ -124,6 +124,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker's own encoder: tasks carry copies of what they refer to, a function of this module finds the
+    module's."""
+    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID, window: int = WINDOW_TOKENS) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most `capacity` tokens; a row for each piece, with its
     ids as little-endian unsigned 32-bit numbers.
@@ -136,7 +142,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS,
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, Encoder(tokenizer_path))
+        encoder = encoder_of(tokenizer_path)
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 
