@@ -64,7 +64,8 @@ def buckets(text: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, ids, counts): the distinct buckets of each text; their number is bounded."""
+    """(doc_id, lang, ids, counts): the distinct buckets of each text as packed 32-bit numbers; their number is
+    bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,11 +73,12 @@ def features(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 for i in range(hi - lo):
                     total = sum(np.bincount(b, minlength=BUCKETS * len(WIDTHS)) for b in buckets(data[offsets[i] : offsets[i + 1]]))
-                    ids.append(np.flatnonzero(total).astype(np.int32))
-                    counts.append(total[ids[-1]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "lang", "ids", "counts"])
+                    some = np.flatnonzero(total)
+                    ids.append(some.astype("<i4").tobytes())
+                    counts.append(total[some].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "ids", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, ids array<int>, counts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, ids binary, counts binary")
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -126,8 +128,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fits on docs (doc_id, text, lang); rows without text or lang teach nothing."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     rows = features(sampling.at_most(known, "doc_id", "lang", per_language)).collect()
-    rows.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["ids"]))
-    return train([(r["lang"], np.array(r["ids"], np.int64), np.array(r["counts"], np.float64)) for r in rows])
+    rows.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["ids"])))
+    return train([(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
