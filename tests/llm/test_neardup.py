@@ -150,3 +150,21 @@ def test_lines_edges(spark):
     same = "the very same line of words"
     docs = spark.createDataFrame([(None, same), (2, same), (2, same), (3, same)], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["text"], r["n_removed"]) for r in lines.dedup_lines(docs).collect()) == [(-1, same, 0), (2, same, 0), (2, same, 0), (3, "", 1)]
+
+
+def test_lines_that_share_prefixes_stay(spark):
+    block = "QUJDREVGR0hJSktM"
+    texts = [
+        "https://example.org/a/1", "https://example.org/b/2", block + "x1" * 20, block + "y2" * 20,
+        "第一章これは長い文章の始まりです" + "春夏秋冬" * 5, "第一章これは長い文章の始まりです" + "東西南北" * 5,
+        "The responsible department: procurement", "The responsible department: bookkeeping",
+        "😀 one two three four five six " * 4 + "a", "😀 one two three four five six " * 4 + "a",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in lines.dedup_lines(docs).collect() if r["n_removed"]} == {9}
+
+
+def test_dense_shingles(spark):
+    texts = ["", "abc", "abcde", "abcdefg", "a😀b😀cd\r é"]
+    got = {r["line"]: r["s"] for r in spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.dense().alias("s")).collect()}
+    assert got == {t: [t[i : i + 5] for i in range(max(1, len(t) - 4))] for t in texts}
