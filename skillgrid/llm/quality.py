@@ -29,6 +29,8 @@ PAIRS = 8
 ROUNDS = 150
 RATE = 0.1
 _PART = 1 << 22
+_P_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_FOLD = np.uint64(0x2545F4914F6CDD1D)
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 1 upper, 2 lower, 3 digit, 4 full stop and comma, 5 other punctuation, 6 space, 7 line end, 8 from 128
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 8
@@ -40,6 +42,22 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in "!?"]] = True
 
 
+def _lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the lines that lie at these places, over segments of at most _PART bytes. A longer line's is
+    made of its pieces' hashes, so that equal lines hash alike wherever they lie."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        at = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, at + _PART, side="right")))
+        for lo in range(at, int(ends[j - 1]), _PART):
+            part = data[lo : min(lo + _PART, int(ends[j - 1]))]
+            sums, s = prefix_sums(part), np.maximum(starts[i:j] - lo, 0)
+            e = np.minimum(ends[i:j] - lo, len(part))
+            out[i:j] = mix(out[i:j] * _FOLD + (sums[e] - sums[s]) * powers(_P_INVERSE, len(part) + 1)[s])
+        i = j
+    return out
+
+
 def describe(data: np.ndarray, hashes: np.ndarray) -> list[float]:
     """The numbers NAMES of one text: its bytes and its words' hashes."""
     n, w = len(data), len(hashes)
@@ -54,10 +72,8 @@ def describe(data: np.ndarray, hashes: np.ndarray) -> list[float]:
     pieces = shingles(hashes)
     ends = np.concatenate([np.flatnonzero(data == 10), [n]])
     starts = np.concatenate([[0], ends[:-1] + 1])
-    lines, length = np.zeros(0), ends - starts
-    if n <= _PART:
-        sums = prefix_sums(data)
-        lines = mix((sums[ends] - sums[starts]) * powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), n + 1)[starts])[length > 0]
+    length = ends - starts
+    lines = _lines(data, starts[length > 0], ends[length > 0])
     return [
         float(np.log1p(n)), float(np.log1p(w)), (n - spaces) / max(1, w), kinds[1] / letters, kinds[3] / n,
         kinds[5] / n, float(np.count_nonzero(_SYMBOL[data])) / n, float(np.count_nonzero(_MARK[data])) / n, kinds[7] / n, kinds[8] / n,

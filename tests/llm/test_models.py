@@ -136,3 +136,12 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert n["b"] == 200 and 350 < n["a"] < 650
     again = sampling.at_most(rows.filter("g IS NOT NULL").repartition(7), "id", "g", 500)
     assert {r["id"] for r in one.collect()} == {r["id"] for r in again.collect()}
+
+
+def test_quality_counts_lines_of_long_texts():
+    repeated = lambda text: quality.describe(np.frombuffer(text, np.uint8), np.zeros(0, np.uint64))[quality.NAMES.index("repeated_lines")]
+    some = b"\n".join(b"line %015d" % i for i in range(250_000))
+    assert len(some) > 5 << 20 and repeated(some) == 0
+    assert repeated(some + b"\n" + some) == 0.5 and repeated(some + b"\n\nline %015d" % 3) == 1 - 250_000 / 250_001
+    wide = b"x" * (5 << 20)
+    assert repeated(b"a\n" + wide + b"\nb\n" + wide) == 1 - 3 / 4 and repeated(wide + b"\n" + wide[:-1] + b"y\n" + b"y" + wide[1:]) == 0
