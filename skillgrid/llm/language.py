@@ -23,6 +23,8 @@ BUCKETS = 1 << 15  # for each width
 DIMENSION = 16
 #: Rows of each language that the model is fitted on, at most about as many.
 SAMPLE_PER_LANGUAGE = 800
+#: Rows of all languages together, at most about as many; more languages than fit share them equally.
+SAMPLE_ROWS = 20_000
 EPOCHS = 4
 RATE = 0.5
 #: Share of rightly labelled calibration texts that the threshold may reject.
@@ -125,9 +127,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on docs (doc_id, text, lang); rows without text or lang teach nothing."""
+    """Fits on docs (doc_id, text, lang); rows without text or lang teach nothing. Every
+    value of lang is learned that the sample holds a row of."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = features(sampling.at_most(known, "doc_id", "lang", per_language)).collect()
+    rows = features(sampling.at_most(known, "doc_id", "lang", per_language, None, SAMPLE_ROWS)).collect()
     rows.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["ids"])))
     return train([(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows])
 

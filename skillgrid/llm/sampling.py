@@ -13,13 +13,17 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor
 
 
-def at_most(rows: DataFrame, key: str, group: str, bound: int, groups: int = 256) -> DataFrame:
-    """About `bound` rows at most of each value of `group`, for its `groups` most frequent values: those whose
-    key hashes below the value's share. The share follows from counts over all rows; only they (a row for
-    each value) reach the driver."""
-    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
+def at_most(rows: DataFrame, key: str, group: str, bound: int, groups: int | None = 256, total: int | None = None) -> DataFrame:
+    """About `bound` rows at most of each value of `group`, for its `groups` most frequent values (None: for
+    all): those whose key hashes below the value's share. Where that may come to more than `total` rows, each
+    value gets an equal part of these, one at least. The share follows from counts over all rows; only they (a
+    row for each value) reach the driver."""
+    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group)
+    counts = (sizes if groups is None else sizes.limit(groups)).collect()
     if not counts:
         return rows.limit(0)
+    if total is not None:
+        bound = min(bound, max(1, total // len(counts)))
     unit = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), 2) / F.lit(_RANGE)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[group], min(1.0, bound / r["count"]))])
     return rows.filter(F.col(group).isin([r[group] for r in counts])).filter(unit < share[F.col(group)])

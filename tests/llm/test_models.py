@@ -145,3 +145,9 @@ def test_quality_counts_lines_of_long_texts():
     assert repeated(some + b"\n" + some) == 0.5 and repeated(some + b"\n\nline %015d" % 3) == 1 - 250_000 / 250_001
     wide = b"x" * (5 << 20)
     assert repeated(b"a\n" + wide + b"\nb\n" + wide) == 1 - 3 / 4 and repeated(wide + b"\n" + wide[:-1] + b"y\n" + b"y" + wide[1:]) == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = spark.range(1200).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "concat('l', id % 300) AS lang")
+    assert len(language.fit(rows).languages) == 300
+    assert 300 < sampling.at_most(rows, "doc_id", "lang", 800, None, 600).count() < 900
