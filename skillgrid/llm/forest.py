@@ -1,116 +1,125 @@
-"""Links between similar rows by an LSH forest, as DataFrame jobs.
-
-A signature holds several sorted orders (trees) of some values each. Rows that agree on a longer prefix of an
-order are nearer neighbours in it. A region of an order, the rows that share a prefix, is first as deep as
-`base`. All pairs of a small region are candidates; in a crowded one every row is paired with the region's
-least id, which links large groups of copies through one member. Crowded regions whose rows the verified
-pairs have not connected are then split by further values, more at each round, so that the depth adapts to how
-crowded and how mixed a region is, and end as small ones.
+"""Classes of similar rows by an LSH forest, as DataFrame jobs.
+
+A signature holds several orders (trees) of some values each. A region of an order is the rows that share its
+first `base` values; rows that agree on a longer prefix are nearer neighbours in it. Candidates come in three
+steps, and pairs that are verified join their rows into classes:
+
+1. All pairs of a region of at most SMALL rows. In a crowded one every row is paired with the region's least
+   id, which links large groups of copies through one member at the cost of a row each.
+2. Crowded regions that still hold several classes are sorted by all values of their order, and rows of
+   different classes that follow each other there, the longest common prefixes, are candidates. Orders without
+   further values skip this.
+3. What is still several classes is settled exactly: a prefix-filtered set-similarity join of the rows in such
+   regions. Sets are put in the order of how rare their elements are among these rows; two sets can be similar
+   only if they share one of the first few. No pair of a region is lost to crowding.
+
+No step makes all pairs of a crowded region, and none gathers one in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillgrid.llm import graph
 from skillgrid.llm.scratch import cut, join_narrow
 
 SMALL = 12
+#: Rows that are sorted together; a larger region is dealt by its ids into parts of about as many.
+SORTED_ROWS = 4096
+#: Rows before it in its order that a row of a crowded region is compared with.
+NEIGHBOURS = 2
 
 
-def regions(signatures: DataFrame, trees: int, depth: int, base: int) -> DataFrame:
-    """(id, tree, key) for each order of signatures (id, signature: array of trees * depth ints): the key of
-    the row's region at depth `base`."""
-    keys = F.array(*[F.xxhash64(F.lit(t), *[F.get("signature", F.lit(t * depth + i)) for i in range(base)]) for t in range(trees)])
-    return signatures.select("id", F.posexplode(keys).alias("tree", "key"))
-
-
-def _crowd(rows: DataFrame) -> DataFrame:
-    """Adds the size and least id of the rows' regions and drops rows that are alone. Most are, so that the
-    regions left are often few enough to be sent to the rows."""
-    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1"))
-    return join_narrow(rows, sizes, "key")
+def regions(signatures: DataFrame, orders: list[list[int]], base: int) -> DataFrame:
+    """(id, key, rest) for each order, a list of places in the signature, of signatures (id, signature: array
+    of ints): the key of the row's region and the order's values after the region's."""
+    value = lambda i: F.get("signature", F.lit(i))
+    one = lambda t, order: F.struct(F.xxhash64(F.lit(t), *[value(i) for i in order[:base]]).alias("key"), F.array(*[value(i) for i in order[base:]]).cast("array<int>").alias("rest"))
+    return signatures.select("id", F.inline(F.array(*[one(t, order) for t, order in enumerate(orders)])))
 
 
 def _within(rows: DataFrame) -> DataFrame:
     """All pairs of regions that hold at most SMALL rows."""
     ids = rows.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    pair = F.explode(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    pair = F.explode_outer(F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
     return ids.select(pair.alias("p")).select("p.a", "p.b")
 
 
-def _deeper(rows: DataFrame, signatures: DataFrame, trees: int, depth: int, at: int, more: int) -> DataFrame:
-    """Regions that also share the values at .. at + more - 1 of their order, which goes on with the next
-    orders' values after its own."""
-    value = lambda k: F.get("signature", (F.col("tree") * depth + (at + k)) % (trees * depth))
-    return rows.join(signatures, "id").select("id", "tree", F.xxhash64("key", *[value(k) for k in range(more)]).alias("key"))
-
-
-def _pairs(live: DataFrame, small: int) -> DataFrame:
-    star = live.filter((F.col("size") > small) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    return _within(live.filter(F.col("size") <= small)).unionByName(star).distinct()
-
-
-def _likely(pairs: DataFrame, signatures: DataFrame, values: int, percent: int) -> DataFrame:
-    """Pairs whose signatures agree about as often as similar rows' do: five standard deviations less is
-    enough."""
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / values) ** 0.5
-    of = lambda k: signatures.select(F.col("id").alias(k), F.col("signature").alias(f"s{k}"))
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda t: t))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(same >= least * values).select("a", "b")
-
-
-def links(signatures: DataFrame, trees: int, depth: int, base: int, prepare, percent: int = 75, small: int = SMALL) -> DataFrame:  # noqa: ANN001
-    """(a, b): pairs, a < b, that share a region and that verify(pairs) keeps; percent is the similarity that
-    it asks for. prepare(ids), called once with the rows that share any region, makes verify.
-
-    A crowded region in which at most `small` rows are outside its main component is settled by comparing
-    those with all the region's rows. Rows whose whole signatures agree can't be split further; those that no
-    link connects are compared with the least of them, the rows of its component leave, and so on."""
-    live, at, more = cut(_crowd(regions(signatures, trees, depth, base))), base, base
-    verify = prepare(cut(live.select("id").distinct()))
-    found = cut(verify(_pairs(live, small)))
-    while True:
-        rows = live.filter(F.col("size") > small).select("id", "tree", "key")
-        if rows.isEmpty():
-            return found
-        reach = graph.components(found)
-        rows = rows.join(reach, "id", "left").select("id", "tree", "key", F.coalesce("component", "id").alias("part"))
-        counts = rows.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"))
-        mixed = counts.select("key", F.col("most.part").alias("main"), (F.col("n") - F.col("most.n")).alias("others")).filter("others > 0")
-        rows = cut(rows.join(mixed, "key"))
-        if rows.isEmpty():
-            return found
-        few = rows.filter(F.col("others") <= small)
-        lone = few.filter(F.col("part") != F.col("main")).select("key", F.col("id").alias("x"), F.col("part").alias("part_x"))
-        across = lone.join(few.select("key", F.col("id").alias("y"), "part"), "key").filter(F.col("part_x") != F.col("part"))
-        found = cut(found.unionByName(verify(_likely(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), signatures, trees * depth, percent))))
-        rows = rows.filter(F.col("others") > small)
-        if at == trees * depth:
-            return found if rows.isEmpty() else found.unionByName(_led(rows, verify))
-        more = min(more, trees * depth - at)
-        live = cut(_crowd(_deeper(rows.select("id", "tree", "key"), signatures, trees, depth, at, more)))
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """(a, b): rows (id, key, rest, size, part) of different parts that follow each other in an order."""
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SORTED_ROWS)))
+    order = Window.partitionBy("key", "deal").orderBy("rest", "id")
+    before = [F.struct(F.lag("id", k).over(order).alias("id"), F.lag("part", k).over(order).alias("part")) for k in range(1, NEIGHBOURS + 1)]
+    pairs = rows.select("id", "part", F.array(*before).alias("before")).select("id", "part", F.explode(F.filter("before", lambda x: x.part != F.col("part"))).alias("x"))
+    return pairs.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+
+
+def across(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of rows of sets (id, part, elements: array of distinct longs) of different parts
+    whose sets may have this Jaccard similarity, and few others.
+
+    With all elements in one order, two sets of sizes n >= m that share at least s elements share one of the
+    first n - s + 1 of the one and m - s + 1 of the other. The larger set shows as many as any partner asks
+    for, the smaller as many as a partner of its own size does; where the first shared element stands bounds
+    how many can follow it."""
+    rows = sets.select("id", "part", F.size("elements").alias("n"), F.explode("elements").alias("x"))
+    counts = rows.groupBy("x").agg(F.count("*").alias("c"))
+    known = rows.join(counts, "x").groupBy("id", "part", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("order"))
+    least = lambda num, den: F.col("n") - F.ceil(num * F.col("n") / den) + 1
+    first = known.select("id", "part", "n", least(2 * percent, 100 + percent).alias("short"), F.posexplode(F.slice("order", F.lit(1), least(percent, 100).cast("int"))).alias("at", "e"))
+    first = cut(first.filter("e.c > 1").select("id", "part", "n", "at", "short", F.col("e.x").alias("x")))
+    small = first.filter(F.col("at") < F.col("short")).select("x", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "at")])
+    a, b = F.col("n"), F.col("n_b")
+    room = F.least(a - F.col("at"), b - F.col("at_b"))
+    fits = ((a > b) | ((a == b) & (F.col("id") > F.col("id_b")))) & (100 * b >= percent * a) & ((100 + percent) * room >= percent * (a + b))
+    pairs = first.join(small, "x").filter(fits & (F.col("part") != F.col("part_b")))
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
+def classes(signatures: DataFrame, orders: list[list[int]], base: int, prepare: Callable, percent: int = 75, small: int = SMALL) -> DataFrame:
+    """(id, component): the classes, by their least id, of rows that verified links connect; rows without any
+    are not listed. percent is the similarity of sets that a link asks for.
+
+    prepare(ids), called once with the rows that have candidates, gives verify(pairs), which keeps pairs
+    (a, b), and elements(rows), which adds the rows' sets."""
+    every = regions(signatures, orders, base)
+    ordered = any(len(order) > base for order in orders)
+    sizes = cut(every.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).filter("size > 1"))
+    live = cut(join_narrow(every, sizes.filter("size > 2").select("key", "size", "least"), "key"))
+    star = live.filter((F.col("size") > small) & (F.col("id") > F.col("least"))).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    star = cut(star)
+    pairs = sizes.filter("size = 2").select(F.col("least").alias("a"), F.col("most").alias("b")).unionByName(_within(live.filter(F.col("size") <= small))).unionByName(star)
+    pairs = cut(pairs.distinct())
+    verify, elements = prepare(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    reach = graph.components(verify(pairs))
+
+    def mixed() -> DataFrame:
+        """(id, part): the rows of crowded regions that hold several classes, by the least ids that lead them."""
+        of = lambda k: reach.select(F.col("id").alias(k), F.col("component").alias(f"part_{k}"))
+        led = star.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b"))
+        leads = led.filter("part_a != part_b").select("a").distinct()
+        led = led.join(leads, "a", "left_semi").select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("part_a").alias("part")), F.struct(F.col("b").alias("id"), F.col("part_b").alias("part")))))
+        return cut(led.distinct())
+
+    def joined(more: DataFrame) -> DataFrame:
+        """reach, after the links between classes in more (a, b)."""
         of = lambda k: reach.select(F.col("id").alias(k), F.col("component").alias(f"part_{k}"))
-        apart = _pairs(live, small).join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-        found = cut(found.unionByName(verify(apart.select("a", "b"))))
-        at, more = at + more, 2 * more
-
-
-def _led(rows: DataFrame, verify) -> DataFrame:  # noqa: ANN001
-    """Verified pairs of rows (id, key, part) of different parts with the least row of a region, then with the
-    least of those left."""
-    out = None
-    rows = rows.select("id", "key", "part")
-    while True:
-        lead = rows.groupBy("key").agg(F.min(F.struct("id", "part")).alias("lead"))
-        rows = cut(rows.join(lead, "key").filter(F.col("part") != F.col("lead.part")))
-        a, b = F.col("lead.id"), F.col("id")
-        good = cut(verify(rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()))
-        out = good if out is None else out.unionByName(good)
-        rows = rows.select("id", "key", "part")
-        if rows.isEmpty():
-            return out
+        parts = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+        moved = graph.components(parts).select(F.col("id").alias("part"), F.col("component").alias("to"))
+        both = reach.withColumnRenamed("component", "part").unionByName(moved.select(F.col("part").alias("id"), "part")).distinct()
+        return cut(both.join(moved, "part", "left").select("id", F.coalesce("to", "part").alias("component")))
+
+    left = mixed()
+    if ordered and not left.isEmpty():
+        rows = live.filter(F.col("size") > small).join(left, "id")
+        reach = joined(verify(cut(_neighbours(rows))))
+        left = mixed()
+    if not left.isEmpty():
+        reach = joined(verify(cut(across(elements(left), percent))))
+    return reach
 
 
 def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm import forest, graph
+from skillgrid.llm import forest
 from skillgrid.llm.scratch import cut, join_narrow
 from skillgrid.llm.vectext import mix, shingles, slices, words
 
@@ -81,19 +81,20 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def confirmer(ids: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT):  # noqa: ANN201
-    """A function that keeps those of given pairs (a, b) of ids whose full shingle sets are similar enough. The
-    sets are made once; pairs whose sizes alone rule it out send no sets."""
+    """Two functions: one keeps those of given pairs (a, b) of ids whose full shingle sets are similar enough,
+    one adds their sets to rows (id, part). The sets are made once. Pairs whose sizes alone rule it out send
+    none, so that what a row is sent never exceeds its own set's size by more than a third."""
     wanted = ids.withColumnRenamed("id", "doc_id")
-    sets = cut(shingle_sets(join_narrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi"), width))
+    sets = cut(shingle_sets(join_narrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi"), width).dropDuplicates(["id"]))
     of = lambda k, column: sets.select(F.col("id").alias(k), F.col(column).alias(f"{column}_{k}"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        both = near.select("a", "b").join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
+        both = near.select("a", "b").join(of("b", "shingles"), "b").join(of("a", "shingles"), "a")
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        return both.filter(forest.similar(shared, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b").distinct()
+        return both.filter(forest.similar(shared, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b")
 
-    return confirm
+    return confirm, lambda rows: rows.join(sets, "id").select("id", "part", F.col("shingles").alias("elements"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -109,8 +110,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     nodes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
     node_rows = full.join(nodes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
     marks = cut(node_rows.select(F.col("doc_id").alias("id"), "signature"))
-    links = forest.links(marks, TREES, DEPTH, BASE, lambda ids: confirmer(ids, docs, width, percent), percent)
-    reach = graph.components(links)
+    reach = forest.classes(marks, [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)], BASE, lambda ids: confirmer(ids, docs, width, percent), percent)
     placed = every.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").join(reach, "id", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -107,13 +107,32 @@ def test_components(spark, edges):
     assert got == want
 
 
-def line_truth(rows, chars=16, percent=75, least=20):
+SPACES = " \t\n\x0b\f\r"
+UNPARTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+
+def line_set(line, k=8):
+    """Shingles from each word's start, every k characters in it, each unparted character, and the last k - 1."""
+    padded, out, i = line + "\n" * (k - 1), {line[j:] + "\n" * (k - len(line[j:])) for j in range(max(0, len(line) - k + 1), len(line))}, 0
+    while i < len(line):
+        if line[i] in SPACES:
+            i += 1
+            continue
+        out.add(padded[i : i + k])
+        at = i
+        i += 1
+        while not UNPARTED.match(line[at]) and i < len(line) and i - at < k and line[i] not in SPACES and not UNPARTED.match(line[i]):
+            i += 1
+    return out
+
+
+def line_truth(rows, percent=75, least=20):
     seen = defaultdict(list)
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             if i is not None and len(line) >= least and line.strip():
                 seen[line].append((i, k))
-    group = classes({line: {line[m.start() : m.start() + chars] for m in re.finditer(r"(?<!\S)(?=\S)", line) if m.start() + chars <= len(line)} for line in seen}, percent)
+    group = classes({line: line_set(line) for line in seen}, percent)
     whole = defaultdict(list)
     for line, where in seen.items():
         whole[group[line]] += where
@@ -164,7 +183,56 @@ def test_lines_that_share_prefixes_stay(spark):
     assert {r["doc_id"] for r in lines.dedup_lines(docs).collect() if r["n_removed"]} == {9}
 
 
-def test_dense_shingles(spark):
-    texts = ["", "abc", "abcde", "abcdefg", "a😀b😀cd\r é"]
-    got = {r["line"]: r["s"] for r in spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.dense().alias("s")).collect()}
-    assert got == {t: [t[i : i + 5] for i in range(max(1, len(t) - 4))] for t in texts}
+def test_shingles_of_lines(spark):
+    texts = ["", "abc", "abcdefghi", "one two  three\tfour_and_more_letters five", "a😀b😀cd é 😀😀😀😀😀😀😀😀😀😀 x", "第一章 これはabc長いdefghijklmn文章", "x" * 40]
+    got = {r["line"]: r["s"] for r in spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.shingles().alias("s")).collect()}
+    assert {t: set(x) for t, x in got.items()} == {t: line_set(t) for t in texts}
+
+
+def test_lines_that_differ_stay_and_small_edits_go(spark):
+    base = "Every visitor has to sign the register at the front desk before going up to the offices."
+    pairs = [
+        ("https://www.example.com/about-us", "https://www.example.com/report/alpha/one", False), ("Total revenue in 2023: 1,999", "Total revenue in 2023: 1,234", False), ("Chapter seventeen: 4", "Chapter seventeen: 9", False),
+        ("吾輩は猫である名前はまだ無いどこで生れたか", "吾輩は猫である名前はまだ無いどこで死んだか", False), (base, base.replace("visitor", "visjtor"), True), (base, base.replace("register", "logbook"), True), (base, base.replace("offices", "kitchens"), False),
+    ]
+    for first, second, gone in pairs:
+        docs = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+        assert [r["n_removed"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, int(gone)], (first, second)
+
+
+def test_crowds_of_mixed_lines_lose_no_pair(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    template = [word() for _ in range(40)]
+
+    def variant():
+        w = list(template)
+        for k in rng.sample(range(40), 8):
+            w[k] = word()
+        return w
+
+    rows = []
+    for i in range(200):  # strangers of one template, and pairs among them
+        w = variant()
+        rows.append((2 * i, " ".join(w)))
+        w[rng.randrange(36)] = word()
+        rows.append((2 * i + 1, " ".join(w)))
+    gone = line_truth(rows)
+    got = {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(gone) > 150 and got <= gone and len(got) >= 0.99 * len(gone)
+
+
+def test_crowds_of_mixed_documents_lose_no_pair(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    template = [word() for _ in range(120)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(30)]
+        rows.append((2 * i, " ".join(template + own)))
+        own[rng.randrange(30)] = word()
+        rows.append((2 * i + 1, " ".join(template + own)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = classes(sets)
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert len(set(want.values())) == 300 and sum(out[i] == want[i] for i in want) >= 0.99 * len(want)
