@@ -107,23 +107,9 @@ def test_components(spark, edges):
     assert got == want
 
 
-SPACES = " \t\n\x0b\f\r"
-UNPARTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
-
-
-def line_set(line, k=8):
-    """Shingles from each word's start, every k characters in it, each unparted character, and the last k - 1."""
-    padded, out, i = line + "\n" * (k - 1), {line[j:] + "\n" * (k - len(line[j:])) for j in range(max(0, len(line) - k + 1), len(line))}, 0
-    while i < len(line):
-        if line[i] in SPACES:
-            i += 1
-            continue
-        out.add(padded[i : i + k])
-        at = i
-        i += 1
-        while not UNPARTED.match(line[at]) and i < len(line) and i - at < k and line[i] not in SPACES and not UNPARTED.match(line[i]):
-            i += 1
-    return out
+def line_set(line, k=10):
+    padded = "\n" * (k - 1) + line + "\n" * (k - 1)
+    return {padded[i : i + k] for i in range(len(padded) - k + 1)}
 
 
 def line_truth(rows, percent=75, least=20):
@@ -185,7 +171,8 @@ def test_lines_that_share_prefixes_stay(spark):
 
 def test_shingles_of_lines(spark):
     texts = ["", "abc", "abcdefghi", "one two  three\tfour_and_more_letters five", "a😀b😀cd é 😀😀😀😀😀😀😀😀😀😀 x", "第一章 これはabc長いdefghijklmn文章", "x" * 40]
-    got = {r["line"]: r["s"] for r in spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.shingles().alias("s")).collect()}
+    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("code", lines.coded())
+    got = {r["line"]: r["s"] for r in df.select("line", lines.F.transform(lines.places(lines.F.col("code")), lambda i: lines.F.decode(lines.shingle(lines.F.col("code"), i), "UTF-32")).alias("s"), lines.elements("code")).collect()}
     assert {t: set(x) for t, x in got.items()} == {t: line_set(t) for t in texts}
 
 
