@@ -180,7 +180,7 @@ def test_lines_that_differ_stay_and_small_edits_go(spark):
     base = "Every visitor has to sign the register at the front desk before going up to the offices."
     pairs = [
         ("https://www.example.com/about-us", "https://www.example.com/report/alpha/one", False), ("Total revenue in 2023: 1,999", "Total revenue in 2023: 1,234", False), ("Chapter seventeen: 4", "Chapter seventeen: 9", False),
-        ("吾輩は猫である名前はまだ無いどこで生れたか", "吾輩は猫である名前はまだ無いどこで死んだか", False), (base, base.replace("visitor", "visjtor"), True), (base, base.replace("register", "logbook"), True), (base, base.replace("offices", "kitchens"), False),
+        ("吾輩は猫である名前はまだ無いどこで生れたか", "吾輩は猫である名前はまだ無いどこで死んだか", False), (base, base.replace("visitor", "visjtor"), True), (base, base.replace("desk", "door"), True), (base, base.replace("register", "logbook"), False), (base, base.replace("offices", "kitchens"), False),
     ]
     for first, second, gone in pairs:
         docs = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
