@@ -10,7 +10,7 @@ _SPACES = " \t\n\x0b\x0c\r"
 LEADERSHIP_TERMS = ("jefe", "gerente", "director", "directora", "líder", "lider", "supervisor", "supervisora", "chief", "head of", "team lead")
 _LETTERS = "a-záéíóúüñ0-9"
 LEADERSHIP = rf"(?i)^.*(^|[^{_LETTERS}])({'|'.join(LEADERSHIP_TERMS)})($|[^{_LETTERS}]).*$"
-_ACCENTED, _PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
+ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
 def is_leadership(title: str) -> Column:
@@ -25,5 +25,5 @@ def tidy(title: str) -> Column:
 
 def clean(name: str) -> Column:
     """Lower-cased, without accents, other signs as spaces, single-spaced."""
-    plain = F.translate(F.lower(F.col(name).cast("string")), _ACCENTED, _PLAIN)
+    plain = F.translate(F.lower(F.col(name).cast("string")), ACCENTED, PLAIN)
     return F.btrim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))

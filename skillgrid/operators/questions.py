@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillgrid.functions.text import ACCENTED, PLAIN, clean
 from skillgrid.plans.templates import TEMPLATES
 from skillgrid.sources.graph import GraphContext
 
@@ -23,13 +24,12 @@ INJECTIONS = (
 )
 MAX_QUESTION = 500
 BATCH = 10_000
-_ACCENTED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 
 
 def normalised(text: str) -> Column:
     """Lower case without accents; other signs are spaces, single ones; `cu ntas`, as some consoles send it, is
     mended."""
-    plain = F.translate(F.lower(F.col(text)), _ACCENTED, _PLAIN)
+    plain = F.translate(F.lower(F.col(text)), ACCENTED, PLAIN)
     plain = F.btrim(F.regexp_replace(F.regexp_replace(plain, "[̀-ͯ]", ""), "[^a-z0-9]+", " "))
     return F.regexp_replace(plain, r"\bcu nt(as|os)\b", r"cuant$1")
 
@@ -79,8 +79,6 @@ def resolve(asked: DataFrame, names: DataFrame) -> DataFrame:
 
     A batch of at most BATCH questions is broadcast against the names, which stay where they are; a longer one
     is joined by label in a shuffle, whose hot labels adaptive execution splits."""
-    from skillgrid.functions.text import clean
-
     wanted = asked.filter("label IS NOT NULL AND size(terms) > 0")
     pool = names.withColumn("c", clean("nombre"))
     fits = F.forall("terms", lambda t: F.col("c").contains(t))

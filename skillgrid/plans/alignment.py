@@ -143,9 +143,10 @@ def currency_of(g: GraphContext, carrera_id: object, industria_id: object, tipo_
 
 def courses(g: GraphContext) -> DataFrame:
     """Courses by recent offers for their own career that ask for what they cover."""
-    asked = g.recent().join(g.dirige, "oferta").join(g.requiere, "oferta").select("oferta", "carrera", "conocimiento")
-    pairs = g.coverage().select("carrera", "curso", "conocimiento").distinct()
-    rows = pairs.join(asked, ["carrera", "conocimiento"]).groupBy("carrera", "curso").agg(F.countDistinct("conocimiento").alias("conocimientos_compartidos"), F.countDistinct("oferta").alias("ofertas"))
+    asked = g.recent().join(g.dirige, "oferta").join(g.requiere, "oferta").select("oferta", "carrera", "conocimiento").distinct()
+    pairs, keys = g.coverage().select("carrera", "curso", "conocimiento").distinct(), ["carrera", "curso"]
+    shared = pairs.join(asked.select("carrera", "conocimiento").distinct(), ["carrera", "conocimiento"], "left_semi").groupBy(*keys).agg(F.count("*").alias("conocimientos_compartidos"))
+    rows = pairs.join(asked, ["carrera", "conocimiento"]).select(*keys, "oferta").distinct().groupBy(*keys).agg(F.count("*").alias("ofertas")).join(shared, keys)
     rows = with_total(rows.join(g.curso, "curso").join(g.carrera, "carrera"), "ofertas")
     rows = top(rows, 20, desc("ofertas"), desc("conocimientos_compartidos"), asc("curso_nombre"), asc("carrera"), asc("curso"))
     careers = g.carrera.agg(F.countDistinct("carrera").alias("total_carreras")).crossJoin(g.carrera.join(g.ensenia, "carrera", "left_semi").agg(F.countDistinct("carrera").alias("carreras_perfiladas")))

@@ -79,9 +79,10 @@ class GraphContext:
         return corte.withColumn("inicio", F.add_months(F.trunc(F.to_date("corte"), "MM"), -11))
 
     def recent(self) -> DataFrame:
-        """Offers from inicio to the cut-off, both included."""
-        inside = (F.col("fecha") >= F.col("inicio").cast("timestamp_ntz")) & (F.col("fecha") <= F.col("corte"))
-        return self.oferta.join(F.broadcast(self.cutoff()), inside).select("oferta", "fecha")
+        """Offers from inicio to the cut-off, both included. The bounds are scalar subqueries, which Spark
+        runs first and hands to the scan as values."""
+        inicio, corte = self.cutoff().select(F.col("inicio").cast("timestamp_ntz")).scalar(), self.cutoff().select("corte").scalar()
+        return self.oferta.filter((F.col("fecha") >= inicio) & (F.col("fecha") <= corte)).select("oferta", "fecha")
 
     def between(self, desde: str | datetime, hasta: str | datetime) -> DataFrame:
         """Offers published from desde on and before hasta."""

@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import minigraph
 import pytest
+from conftest import SMALL
 
 from skillgrid.operators import adhoc, dialogue, questions
 from skillgrid.plans import alignment, companies, dashboard, panorama, service
@@ -201,19 +202,18 @@ def test_guards_on_text(spark):
     assert [r[0] for r in df.select(questions.presentable("text")).collect()] == [True, True, True, False]
 
 
-def test_phrases():
-    assert service.phrase([{"total": 14}]) == "El total es 14."
-    assert service.phrase([{"herramienta": "SAP"}, {"herramienta": "Excel"}]).startswith("Se encontraron 2 herramientas.")
-    assert service.phrase([{"habilidad": "a", "n": 1}, {"habilidad": "b", "n": 1}]).startswith("Se encontraron 2 habilidades.")
-    assert service.phrase([]) == "No encontré datos para esa consulta."
-
-
 def test_adhoc_sql_reads_only(g, spark):
     g.register("mini_")
     assert rows(adhoc.checked(spark, "SELECT count(*) AS n FROM mini_carrera WHERE carrera <> :x", {"x": "C3"})) == [{"n": 2}]
-    for wrong in ("DROP VIEW mini_carrera", "SELECT 1; SELECT 2", "SELECT * FROM nothing_here", "SELECT * FROM parquet.`/etc`", "SET spark.x=1", "INSERT INTO mini_carrera VALUES (1)"):
+    for wrong in ("DROP VIEW mini_carrera", "SELECT 1; SELECT 2", "SELECT * FROM nothing_here", "SELECT * FROM parquet.`/etc`", "SET spark.x=1", "INSERT INTO mini_carrera VALUES (1)",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT TRANSFORM(carrera) USING 'cat' AS (y string) FROM mini_carrera",
+        f"SELECT * FROM `parquet`.`{SMALL}/region.parquet`", "SELECT (SELECT max(java_method('java.lang.System', 'lineSeparator')) FROM mini_carrera) AS x", "SELECT input_file_name() FROM mini_carrera",
+        "SELECT * FROM range(10)", "SELECT current_user()",
+    ):
         with pytest.raises(adhoc.Rejected):
             adhoc.checked(spark, wrong)
+    every = "WITH c AS (SELECT carrera, count(*) AS n FROM mini_ensenia GROUP BY carrera) SELECT carrera, n, rank() OVER (ORDER BY n DESC) AS k FROM c WHERE carrera IN (SELECT carrera FROM mini_carrera) UNION ALL SELECT 'x', 0, 0 ORDER BY carrera"
+    assert len(rows(adhoc.checked(spark, every))) >= 2
     seen = []
     def generate(question, schema, error):
         seen.append(error)
