@@ -6,6 +6,7 @@ are calibrated with a temperature, and a threshold on them rejects texts that lo
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,12 +128,20 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on docs (doc_id, text, lang); rows without text or lang teach nothing. Every
-    value of lang is learned that the sample holds a row of."""
+    """Fits on docs (doc_id, text, lang); rows without text or lang teach nothing. Every value of lang is
+    learned that the sample holds a row of. One task fits to the sample, whose rows are bounded; only the model
+    reaches the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = features(sampling.at_most(known, "doc_id", "lang", per_language, None, SAMPLE_ROWS)).collect()
-    rows.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], bytes(r["ids"])))
-    return train([(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows])
+
+    def learn(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        rows.sort(key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["ids"]))
+        model = train([(r["lang"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows])
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    sample = features(sampling.at_most(known, "doc_id", "lang", per_language, None, SAMPLE_ROWS))
+    fitted = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else train([])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
