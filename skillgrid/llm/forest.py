@@ -66,11 +66,13 @@ def across(sets: DataFrame, percent: int) -> DataFrame:
     for, the smaller as many as a partner of its own size does; where the first shared element stands bounds
     how many can follow it."""
     rows = sets.select("id", "part", F.size("elements").alias("n"), F.explode("elements").alias("x"))
-    counts = rows.groupBy("x").agg(F.count("*").alias("c"))
+    counts = rows.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1")
     known = rows.join(counts, "x").groupBy("id", "part", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("order"))
-    least = lambda num, den: F.col("n") - F.ceil(num * F.col("n") / den) + 1
-    first = known.select("id", "part", "n", least(2 * percent, 100 + percent).alias("short"), F.posexplode(F.slice("order", F.lit(1), least(percent, 100).cast("int"))).alias("at", "e"))
-    first = cut(first.filter("e.c > 1").select("id", "part", "n", "at", "short", F.col("e.x").alias("x")))
+    known = known.withColumn("alone", F.col("n") - F.size("order"))  # elements of one row only stand first
+    least = lambda num, den: (F.col("n") - F.ceil(num * F.col("n") / den) + 1).cast("int")
+    shown = F.slice("order", F.lit(1), F.greatest(least(percent, 100) - F.col("alone"), F.lit(0)))
+    first = known.select("id", "part", "n", "alone", least(2 * percent, 100 + percent).alias("short"), F.posexplode(shown).alias("at", "e"))
+    first = cut(first.select("id", "part", "n", (F.col("at") + F.col("alone")).alias("at"), "short", F.col("e.x").alias("x")))
     small = first.filter(F.col("at") < F.col("short")).select("x", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "at")])
     a, b = F.col("n"), F.col("n_b")
     room = F.least(a - F.col("at"), b - F.col("at_b"))
