@@ -1,6 +1,8 @@
 """Media in binary columns: PNG files written and read with zlib and numpy, and a perceptual hash.
 
-The file holds 8-bit RGB samples. Reading tests every chunk's checksum and undoes all five row filters.
+The file holds 8-bit RGB samples. Rows are written with the one of the filters None, Sub and Up whose differences
+are least, all of which numpy undoes whole rows at a time. Reading tests every chunk's checksum and undoes all five
+row filters.
 """
 
 from __future__ import annotations
@@ -25,28 +27,33 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def write_png(payload: bytes, row_bytes: int = ROW_BYTES) -> bytes:
-    """An RGB file with rows of `row_bytes` samples that holds the payload, which must fill its rows."""
+    """An RGB file with rows of `row_bytes` samples, whole pixels, that holds the payload, which must fill its rows."""
     rows, rest = divmod(len(payload), row_bytes)
     if rest or not rows:
         raise ValueError("the payload doesn't fill whole rows")
-    lines = np.zeros((rows, row_bytes + 1), np.uint8)  # text deflates best without row filters: type 0
-    lines[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, row_bytes)
+    lines = filtered(np.frombuffer(payload, np.uint8).reshape(rows, row_bytes), 3)
     head = struct.pack(">IIBBBBB", row_bytes // 3, rows, 8, 2, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
+def filtered(x: np.ndarray, step: int) -> np.ndarray:
+    """Rows of samples after their filter's type: None, Sub or Up, that with the least sum of the differences'
+    sizes, the first of equal ones; step: bytes a pixel."""
+    ways = np.stack([x, x, x])
+    ways[1, :, step:] -= x[:, :-step]
+    ways[2, 1:] -= x[:-1]
+    kinds = np.minimum(ways, -ways).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    return np.column_stack([kinds.astype(np.uint8), ways[kinds, np.arange(len(x))]])
+
+
 def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
     """Samples of rows that begin with their filter's type; step: bytes a pixel."""
     kinds, x = lines[:, 0], lines[:, 1:].copy()
-    if not kinds.any():
-        return x
-    n = x.shape[1]
-    for r in range(len(x)):
+    n, left = x.shape[1], np.flatnonzero(kinds == 1)
+    x[left] = x[left].reshape(len(left), n // step, step).cumsum(axis=1, dtype=np.uint8).reshape(len(left), n)
+    for r in np.flatnonzero(kinds > 1):
         row, up, kind = x[r], x[r - 1] if r else np.zeros(n, np.uint8), int(kinds[r])
-        if kind == 1:
-            for c in range(step):
-                row[c::step] = np.cumsum(row[c::step], dtype=np.uint64).astype(np.uint8)
-        elif kind == 2:
+        if kind == 2:
             row += up
         elif kind in (3, 4):
             above, out = up.tolist(), row.tolist()
@@ -61,7 +68,7 @@ def unfilter(lines: np.ndarray, step: int) -> np.ndarray:
                     guess = left if a <= b and a <= c else above[i] if b <= c else corner
                 out[i] = (out[i] + guess) & 255
             row[:] = out
-        elif kind:
+        else:
             raise ValueError("unknown row filter")
     return x
 

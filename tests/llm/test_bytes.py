@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import struct
 import zlib
@@ -152,6 +153,37 @@ def test_row_filters_are_undone(kind):
     assert (media.read_png(file).reshape(6, 12) == x).all()
 
 
+def test_written_rows_are_filtered_and_undone():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 256, (40, 192), dtype=np.uint8)
+    x[10:20] = np.repeat(rng.integers(0, 256, (10, 3), dtype=np.uint8), 64, axis=0).reshape(10, 192)
+    x[20:30] = x[19]
+    x[30:] //= 64
+    lines = media.filtered(x, 3)
+    assert set(lines[:, 0].tolist()) == {0, 1, 2} and (media.unfilter(lines, 3) == x).all()
+    assert (media.read_png(media.write_png(x.tobytes())).reshape(40, 192) == x).all()
+    lines[3, 0] = 5
+    with pytest.raises(ValueError):
+        media.unfilter(lines, 3)
+
+
+def test_registered_media_query_by_hand(spark):
+    from conftest import SMALL
+
+    from skillgrid.llm.queries import op10_media
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    out = op10_media(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(texts)
+    for r in out:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        file = media.write_png(payload)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == want
+        assert r["feature"] == f"{media.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)):016x}"
+
+
 def test_hash_ignores_small_changes():
     rng = np.random.default_rng(0)
     x = np.kron(rng.integers(0, 200, (8, 8, 3)), np.ones((16, 16, 1))).astype(float)
