@@ -1,14 +1,16 @@
 """Language identification: averaged embeddings of hashed byte n-grams and a linear softmax.
 
 The model is fitted by stochastic gradient descent in numpy on a bounded sample of labelled texts. Its scores
-are calibrated with a temperature, and a threshold on them rejects texts that look like no learned language.
+are calibrated with a temperature. Two thresholds, calibrated on texts held aside, reject the rest: one on the
+score, for texts between languages, and one on how rare a text's n-grams are among the learned ones, for texts of
+no learned language, whose best score can be high since some language must win.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,10 @@ SAMPLE_PER_LANGUAGE = 800
 SAMPLE_ROWS = 20_000
 EPOCHS = 4
 RATE = 0.5
-#: Share of rightly labelled calibration texts that the threshold may reject.
-REJECTED = 0.001
-#: However calibration goes, no text with a higher score is rejected.
-MAX_THRESHOLD = 0.4
+#: Share of calibration texts that each threshold may reject.
+REJECTED = 0.002
+#: Deviations from the language's usual rarity that are never rejected: too few calibration texts tell nothing of them.
+USUAL_DEVIATIONS = 6.0
 UNKNOWN = "und"
 _PART = 1 << 20
 
@@ -43,23 +45,39 @@ _CLEAN[[9, 10, 11, 12, 13]] = 32
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # (buckets, languages): embeddings times weights
+    table: np.ndarray  # (buckets, languages + 1): embeddings times weights; last the bucket's rarity
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: float  # least score
+    usual: np.ndarray  # mean rarity of each language's n-grams
+    between: float  # variance of a text's mean rarity, besides
+    within: float  # this over its n-grams
+    strange: float  # most deviations from the usual rarity
+
+    def judge(self, sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all languages, and how far each text's rarity lies above the best one's, in deviations; of
+        the sums of the rows of `table` over n n-grams of each text."""
+        mean = sums / np.maximum(n, 1)[:, None]
+        p = _softmax((mean[:, :-1] + self.bias) / self.temperature)
+        above = mean[:, -1] - self.usual[p.argmax(1)]
+        return p, np.where(n > 0, above / np.sqrt(self.between + self.within / np.maximum(n, 1)), 0.0)
 
 
 def buckets(text: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket numbers of a text's n-grams, in parts of bounded size. The text counts as if spaces stood
-    around it."""
-    for at in range(0, max(1, len(text)), _PART):
-        part = _CLEAN[text[max(0, at - max(WIDTHS) + 1) if at else 0 : at + _PART]]
-        part = np.concatenate([[np.uint8(32)], part, [np.uint8(32)]]).astype(np.uint32)
+    """Bucket numbers of a text's n-grams, in parts of bounded size that count each once. The text counts as if
+    spaces stood around it."""
+    edge = np.array([32], np.uint8)
+    whole = len(text) + 2
+    for at in range(0, whole, _PART):
+        before = min(at, max(WIDTHS) - 1)  # bytes that an n-gram of this part may begin in
+        part = text[max(0, at - before - 1) : at + _PART - 1]
+        part = np.concatenate([edge if at == before else edge[:0], _CLEAN[part], edge if at + _PART >= whole else edge[:0]]).astype(np.uint32)
         out = []
         for i, n in enumerate(WIDTHS):
-            h = np.zeros(max(0, len(part) - n + 1), dtype=np.uint32)
+            own = part[before - min(before, n - 1) :]  # n-grams that end in this part
+            h = np.zeros(max(0, len(own) - n + 1), dtype=np.uint32)
             for k in range(n):
-                h = h * np.uint32(0x01000193) + part[k : len(part) - n + 1 + k] * np.uint32(0x9E3779B1)
+                h = h * np.uint32(0x01000193) + own[k : len(own) - n + 1 + k] * np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
             h *= np.uint32(0x85EBCA6B)
             out.append((h >> np.uint32(17)).astype(np.int64) + i * BUCKETS)
@@ -93,11 +111,13 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
     """Fits on rows (language, buckets, counts); a fifth is held aside to calibrate on."""
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
-        return Model((), np.zeros((BUCKETS * len(WIDTHS), 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+        return Model((), np.zeros((BUCKETS * len(WIDTHS), 1), np.float32), np.zeros(0, np.float32), 1.0, 0.0, np.zeros(0), 1.0, 1.0, np.inf)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.3, (BUCKETS * len(WIDTHS), DIMENSION)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (DIMENSION, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    data = [(languages.index(a), ids, (c / c.sum()).astype(np.float32)) for a, ids, c in rows if len(ids)]
+    number = {a: i for i, a in enumerate(languages)}
+    data = [(number[a], ids, (c / c.sum()).astype(np.float32)) for a, ids, c in rows if len(ids)]
+    totals = [int(c.sum()) for _, ids, c in rows if len(ids)]
     order = rng.permutation(len(data))
     aside, fit = order[: len(data) // 5], order[len(data) // 5 :]
     steps, done = max(1, EPOCHS * len(fit)), 0
@@ -113,18 +133,40 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
             bias -= 0.1 * rate * g
             vectors[ids] -= (20 * rate) * share[:, None] * back[None, :]
             done += 1
-    table = vectors @ weights
-    temperature, threshold = 1.0, 0.0
-    if len(aside):
-        logits = np.array([data[k][2] @ table[data[k][1]] + bias for k in aside])
-        truth = np.array([data[k][0] for k in aside])
-        loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
-        temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-        scores = _softmax(logits / temperature)
-        right = scores.argmax(1) == truth
-        if right.any():
-            threshold = float(min(MAX_THRESHOLD, np.quantile(scores.max(1)[right], REJECTED)))
-    return Model(languages, table.astype(np.float32), bias, temperature, threshold)
+    known = [data[k] for k in (fit if len(fit) else order)]
+    rarity, usual, within = _rarity(known, len(languages))
+    table = np.concatenate([vectors @ weights, rarity[:, None]], axis=1).astype(np.float32)
+    model = Model(languages, table, bias, 1.0, 0.0, usual, 0.0, within, np.inf)
+    if not len(aside):
+        return model
+    truth = np.array([data[k][0] for k in aside])
+    n = np.array([totals[k] for k in aside], dtype=np.float64)
+    sums = np.array([data[k][2].astype(np.float64) @ table[data[k][1]] for k in aside]) * n[:, None]
+    loss = lambda t: -np.log(np.maximum(replace(model, temperature=t).judge(sums, n)[0][np.arange(len(truth)), truth], 1e-12)).mean()
+    model = replace(model, temperature=float(min(np.geomspace(0.25, 8, 41), key=loss)))
+    off = sums[:, -1] / n - usual[model.judge(sums, n)[0].argmax(1)]
+    model = replace(model, between=float(max(1e-4, (off**2 - within / n).mean())))
+    scores, far = model.judge(sums, n)
+    allowed = int(REJECTED * (len(n) + 1))  # of texts like these, at most REJECTED lie beyond
+    least = 0.0
+    if allowed and len(languages) > 1:  # midway, in log odds, between chance and what the texts' scores reach
+        odds = [np.log(x / (1 - x)) for x in (1 / len(languages), min(0.999, np.sort(scores.max(1))[allowed - 1]))]
+        least = float(1 / (1 + np.exp(-np.mean(odds))))
+    return replace(model, threshold=least, strange=max(USUAL_DEVIATIONS, float(np.sort(far)[-max(1, allowed)])))
+
+
+def _rarity(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of rows (language, buckets, shares): each bucket's rarity, the negative logarithm of its share where all
+    languages weigh alike, with a share for the unseen; its mean in each language; and its variance in a language,
+    as n-grams vary that overlap each other."""
+    shares = np.zeros((n_languages, BUCKETS * len(WIDTHS)))
+    for y, ids, share in rows:
+        shares[y, ids] += share
+    shares /= np.maximum(shares.sum(1, keepdims=True), 1e-12)
+    rarity = -np.log(shares.mean(0) + 0.1 / shares.shape[1])
+    usual = shares @ rarity
+    spread = np.maximum(shares @ rarity**2 - usual**2, 0)
+    return rarity, usual, float(max(1e-4, spread.max() * sum(WIDTHS)))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -149,35 +191,36 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     column that is looked at; all others pass through, but for any of these three names.
 
     Texts that are null or have no letter get `und` and 0 and aren't accepted, nor are texts whose score lies
-    under the model's threshold. Without any learned language every text is `und`. Equal texts get equal
-    results, an empty table an empty one."""
+    under the model's threshold or whose n-grams are too rare; these keep the best language's name. Without any
+    learned language every text is `und`. Texts of any length are read whole. Equal texts get equal results, an
+    empty table an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for column in parts:
-            best, score = [], []
+            best, score, usual = [], [], []
             for lo, hi, data, offsets in slices(column):
-                logits = np.zeros((hi - lo, len(m.languages)))
+                sums, n = np.zeros((hi - lo, len(m.languages) + 1)), np.zeros(hi - lo)
                 for i in range(hi - lo):
-                    n = 0
                     for b in buckets(data[offsets[i] : offsets[i + 1]]):
-                        logits[i] += m.table[b].sum(axis=0, dtype=np.float64)
-                        n += len(b)
-                    logits[i] = (logits[i] / max(1, n) + m.bias) / m.temperature
+                        sums[i] += m.table[b].sum(axis=0, dtype=np.float64)
+                        n[i] += len(b)
                 if len(m.languages):
-                    p = _softmax(logits)
+                    p, far = m.judge(sums, n)
                     best += [m.languages[k] for k in p.argmax(1)]
                     score += p.max(1).tolist()
+                    usual += (far <= m.strange).tolist()
                 else:
                     best += [UNKNOWN] * (hi - lo)
                     score += [0.0] * (hi - lo)
-            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+                    usual += [False] * (hi - lo)
+            yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(usual, pa.bool_())], ["lang", "score", "usual"])
 
-    guess = F.arrow_udf(run, "lang string, score double")
+    guess = F.arrow_udf(run, "lang string, score double, usual boolean")
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     named = docs.withColumn("__sg_guess", guess(F.col("text")))
     name = F.when(letters, F.col("__sg_guess.lang")).otherwise(UNKNOWN)
     score = F.when(letters, F.col("__sg_guess.score")).otherwise(0.0)
     kept = without_names(docs.columns, ("lang_pred", "lang_score", "lang_accepted"))
-    return named.select(*kept, name.alias("lang_pred"), score.alias("lang_score"), ((name != UNKNOWN) & (score >= model.threshold)).alias("lang_accepted"))
+    return named.select(*kept, name.alias("lang_pred"), score.alias("lang_score"), ((name != UNKNOWN) & (score >= model.threshold) & F.col("__sg_guess.usual")).alias("lang_accepted"))

@@ -104,6 +104,7 @@ def test_language_edges(spark):
     assert out.columns == ["doc_id", "text", "odd.name", "lang_pred", "lang_score", "lang_accepted"]
     got = [(r["doc_id"], r["lang_pred"], r["lang_accepted"]) for r in out.collect()]
     assert [g for g in got if g[0] < 4] == [(i, "und", False) for i in (1, 2, 3)] and len({g for g in got if g[0] == 4}) == 1
+    assert {g[2] for g in got if g[0] == 4} == {True} and {g[2] for g in got if g[0] == 5} == {False}
     assert language.identify(asked.limit(0), model).collect() == []
     blank = language.fit(docs.filter("doc_id = 3"))
     assert {r["lang_pred"] for r in language.identify(asked, blank).collect()} == {"und"}
@@ -151,3 +152,29 @@ def test_every_language_is_learned(spark):
     rows = spark.range(1200).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "concat('l', id % 300) AS lang")
     assert len(language.fit(rows).languages) == 300
     assert 300 < sampling.at_most(rows, "doc_id", "lang", 800, None, 600).count() < 900
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn("held_out", sampling.remainder("doc_id", 4) == 2)
+    model = language.fit(docs.filter("NOT held_out"))
+    strange = [
+        "Жизнь прекрасна и удивительна, особенно весной, когда цветут сады", "これは日本語の文章です。モデルは知りません。", "Ez egy magyar mondat, amelyet a nyelvi modell nem ismer, és nem is tanult soha",
+        "To jest zdanie po polsku, którego model nigdy nie widział ani nie czytał", "xqzv kjwq zzxv qqkj vbnm wxyz jjkq xvzq qzkx",
+    ]
+    asked = spark.createDataFrame([(t,) for t in strange + ["the hand of the other and that is for the", "Ж" * 100_000]], "text string")
+    assert [r[0] for r in language.identify(asked, model).select("lang_accepted").collect()] == [False] * len(strange) + [True, False]
+    one = language.fit(docs.filter("NOT held_out AND lang = 'en'"))
+    got = language.identify(docs.filter("held_out AND lang = 'en' AND text IS NOT NULL").select("text"), one).select("lang_accepted").collect()
+    assert sum(not r[0] for r in got) <= 0.02 * len(got)
+    assert not any(r[0] for r in language.identify(asked.limit(2), one).select("lang_accepted").collect())
+
+
+def test_long_texts_count_each_gram_once(monkeypatch):
+    text = np.frombuffer(("Some Text über " * 50).encode(), np.uint8)
+    count = lambda t: np.bincount(np.concatenate(list(language.buckets(t))), minlength=2 * language.BUCKETS)
+    for some in (text, text[:0], text[:1], text[:2], text[:5]):
+        monkeypatch.setattr(language, "_PART", 1 << 20)
+        whole = count(some)
+        for part in (1, 2, 3, 5, 64, len(some) + 1, len(some) + 2):
+            monkeypatch.setattr(language, "_PART", part)
+            assert (count(some) == whole).all()
