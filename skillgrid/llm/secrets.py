@@ -30,14 +30,11 @@ SCOPE = 200
 _SPAN = "STRUCT<start: INT, rank: INT, end: INT>"
 
 
-def _placed(gaps: str, matches: str, rank: str) -> Column:
-    """Spans of the matches of a pattern, from the text between them: rank is an SQL expression of the match
-    `m` and its number `i`, null where the match doesn't count."""
-    step = f"""named_struct('at', acc.at + char_length(x.gap) + char_length(x.m),
-      'out', concat(acc.out, array(named_struct('start', acc.at + char_length(x.gap), 'rank', {rank}, 'end', acc.at + char_length(x.gap) + char_length(x.m)))))"""
-    zipped = f"transform({matches}, (m, i) -> named_struct('m', m, 'gap', {gaps}[i], 'i', i))"
-    walk = f"aggregate({zipped}, named_struct('at', 0, 'out', CAST(array() AS ARRAY<{_SPAN}>)), (acc, x) -> {step}, acc -> acc.out)"
-    return F.expr(f"filter({walk}, s -> s.rank IS NOT NULL)")
+def _pieces(name: str, rank: str) -> Column:
+    """The matches of a pattern: their number, the length of the text before each and its own, and its rank, an
+    SQL expression of the match `m` and its number `i` that is null where the match doesn't count."""
+    one = f"named_struct('pattern', '{name}', 'i', i, 'gap', char_length({name}_g[i]), 'length', char_length(m), 'rank', CAST({rank} AS INT))"
+    return F.expr(f"coalesce(transform({name}_m, (m, i) -> {one}), array())")
 
 
 def _matches(df: DataFrame, name: str, pattern: str, where: Column, group: int | None = None) -> DataFrame:
@@ -50,10 +47,10 @@ def _matches(df: DataFrame, name: str, pattern: str, where: Column, group: int |
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, weak): arrays of spans {start, rank, end} of every row's text; rank is a position in
-    KINDS. Weak parts are looked for only where parts of two roles can be present."""
+    """(doc_id, key, pieces): the matches of every row's text; rank is a position in KINDS. Weak parts are looked
+    for only where parts of two roles can be present. Rows that are wholly alike share the key, 128 bits."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    df = df.withColumn("key", F.xxhash64("doc_id", "text"))
+    df = df.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"))))
     has = {"assign": F.col("text").rlike(ASSIGN), "access": F.col("text").contains("AKIA"), "hex": F.col("text").rlike(HEX), "endpoint": F.col("text").contains("://")}
     df = df.withColumns({f"has_{k}": c for k, c in has.items()})
     df = _matches(df, "assign", ASSIGN, F.col("has_assign"), 2)
@@ -63,44 +60,50 @@ def parts(docs: DataFrame) -> DataFrame:
     df = _matches(df, "bare", BARE, other)
     df = _matches(df, "endpoint", ADDRESS, F.col("has_endpoint") & (F.col("has_assign") | (F.size("bare_m") > 0)))
     rank = {k: i for i, k in enumerate(KINDS)}
-    df = df.select(
-        "doc_id", "key",
-        _placed("assign_g", "assign_m", f"CASE WHEN char_length(assign_v[x.i]) >= {ASSIGN_LETTERS} THEN {rank['assign']} WHEN char_length(assign_v[x.i]) >= {WEAK_LETTERS} THEN {rank['weak_secret']} END").alias("assign"),
-        _placed("access_g", "access_m", f"CASE WHEN char_length(x.m) >= {ACCESS_LETTERS} THEN {rank['access']} WHEN char_length(x.m) >= {len('AKIA') + WEAK_LETTERS} THEN {rank['weak_access']} END").alias("access"),
-        _placed("hex_g", "hex_m", str(rank["hex"])).alias("hex"), _placed("bare_g", "bare_m", str(rank["bare_key"])).alias("bare"), _placed("endpoint_g", "endpoint_m", str(rank["endpoint"])).alias("endpoint"),
+    pieces = F.concat(
+        _pieces("assign", f"CASE WHEN char_length(assign_v[i]) >= {ASSIGN_LETTERS} THEN {rank['assign']} WHEN char_length(assign_v[i]) >= {WEAK_LETTERS} THEN {rank['weak_secret']} END"),
+        _pieces("access", f"CASE WHEN char_length(m) >= {ACCESS_LETTERS} THEN {rank['access']} WHEN char_length(m) >= {len('AKIA') + WEAK_LETTERS} THEN {rank['weak_access']} END"),
+        _pieces("hex", str(rank["hex"])), _pieces("bare", str(rank["bare_key"])), _pieces("endpoint", str(rank["endpoint"])),
     )
-    none = F.expr(f"CAST(array() AS ARRAY<{_SPAN}>)")
-    every = F.concat(*[F.coalesce(k, none) for k in ("assign", "access", "hex", "bare", "endpoint")])
-    df = df.select("doc_id", "key", every.alias("every"))
-    return df.select("doc_id", "key", F.filter("every", lambda s: s.rank < len(BASE)).alias("base"), F.filter("every", lambda s: s.rank >= len(BASE)).alias("weak"))
+    return df.select("doc_id", "key", pieces.alias("pieces"))
 
 
-def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(key, added): the weak parts of each row that a complementary part backs and no strong span covers.
+def placed(found: DataFrame) -> DataFrame:
+    """(key, s): the spans {start, rank, end} of each distinct row, placed by running sums of lengths."""
+    rows = found.filter(F.size("pieces") > 0).dropDuplicates(["key"]).select("key", F.inline("pieces"))
+    end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("key", "pattern").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("end", end).filter("rank IS NOT NULL")
+    return rows.select("key", F.struct((F.col("end") - F.col("length")).alias("start"), "rank", "end").alias("s"))
+
+
+def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(key, s): the strong spans, and the weak parts that a complementary part backs and no strong span covers.
 
     An interval join of the parts of a text, as sliding windows over their starts: no pairs are made."""
     is_role = lambda role: F.array_contains(F.lit([i for i, k in enumerate(KINDS) if ROLES.get(k) == role]), F.col("s.rank"))
-    rows = found.filter(F.size("weak") > 0).dropDuplicates(["key"]).select("key", F.explode(F.concat("base", "weak")).alias("s"))
+    strong = F.col("s.rank") < len(BASE)
     near = Window.partitionBy("key").orderBy("s.start").rangeBetween(-scope, scope)
     count = {r: F.count(F.when(is_role(r), 1)).over(near) for r in ("secret", "access", "endpoint")}
-    before = F.max(F.when(F.col("s.rank") < len(BASE), F.col("s.end"))).over(Window.partitionBy("key").orderBy("s.start").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("s.rank") < len(BASE), F.col("s.start"))).over(Window.partitionBy("key").orderBy("s.start").rangeBetween(0, Window.unboundedFollowing))
-    rows = rows.select("key", "s", *[c.alias(r) for r, c in count.items()], before.alias("before"), after.alias("after"))
+    before = F.max(F.when(strong, F.col("s.end"))).over(Window.partitionBy("key").orderBy("s.start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(strong, F.col("s.start"))).over(Window.partitionBy("key").orderBy(F.desc("s.start")).rangeBetween(Window.unboundedPreceding, 0))  # the mirrored frame adds up; the other one starts anew at each row
+    rows = spans.select("key", "s", *[c.alias(r) for r, c in count.items()], before.alias("before"), after.alias("after"))
     backed = F.when(is_role("secret"), (F.col("access") > 0) | (F.col("endpoint") > 0)).otherwise(F.col("secret") > 0)
     free = (F.coalesce("before", F.lit(0)) <= F.col("s.start")) & (F.coalesce("after", F.col("s.end")) >= F.col("s.end"))
-    return rows.filter(F.col("s.rank") >= len(BASE)).filter(backed & free).groupBy("key").agg(F.collect_list("s").alias("added"))
+    return rows.filter(strong | (backed & free)).select("key", "s")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, base, spans) for each row of docs (doc_id, text): the strong spans and all reported spans, as
     arrays of {start, rank, end} in order; positions count code points, the end is exclusive.
 
-    Null and empty texts have none. Rows that are wholly alike get the same. Spans that start together are
-    ordered by kind. An empty table gives an empty one; other columns are not read."""
-    found = cut(parts(docs))  # spans only; both uses read them back
-    out = found.join(linked(found, scope), "key", "left")
-    none = F.expr(f"CAST(array() AS ARRAY<{_SPAN}>)")
-    return out.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    Null and empty texts have none; texts of any length are searched whole. Rows that are wholly alike get the
+    same. Spans that start together are ordered by kind. An empty table gives an empty one; other columns are not
+    read."""
+    found = cut(parts(docs))  # lengths only; both uses read them back
+    spans = linked(placed(found), scope).groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    out = found.select("doc_id", "key").join(spans, "key", "left")
+    out = out.select("doc_id", F.coalesce("spans", F.expr(f"CAST(array() AS ARRAY<{_SPAN}>)")).alias("spans"))
+    return out.select("doc_id", F.filter("spans", lambda s: s.rank < len(BASE)).alias("base"), "spans")
 
 
 def listing(spans: str) -> Column:
