@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     whole = whole.select("key", "doc_id", "size", "start")
     pieces = whole.filter("size > 0").select("key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     within = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = pieces.withColumn("within", within).join(chosen, ["key", "block"]).groupBy("key", "start").agg(F.sum(F.col("within") * F.col("times")).alias("taken"))
-    counted = whole.filter("size > 0").join(taken, ["key", "start"], "left")  # a text with words begins where no other one does
+    # Both sides grow with the words; a plan that judges the blocks by the shards they come from would broadcast them.
+    taken = pieces.withColumn("within", within).join(chosen.hint("merge"), ["key", "block"]).groupBy("key", "start").agg(F.sum(F.col("within") * F.col("times")).alias("taken"))
+    counted = whole.filter("size > 0").join(taken.hint("merge"), ["key", "start"], "left")  # a text with words begins where no other one does
     rows = counted.unionByName(whole.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return rows.join(small, "key").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
