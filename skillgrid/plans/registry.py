@@ -26,16 +26,23 @@ QUESTIONS = (
 )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+#: Plans that are asked for a period, which must reach the scan of the offers.
+PERIODS = frozenset(
+    [f"{spec.slug}__especifica" for spec in CATALOGUE if "desde" in spec.params] + ["dash_tendencia_global", "dash_tendencia_carrera"] + [f"dash_{view}_{d}" for view in ("demanda", "brechas", "industrias") for d in DIMENSIONS]
+)
+
+
+def plans() -> dict[str, Callable[[GraphContext], DataFrame]]:
+    """Every query over a graph, as a function of the graph."""
     p, period = PARAMS, {"desde": PARAMS["desde"], "hasta": PARAMS["hasta"]}
-    plans: dict[str, Callable[[GraphContext], DataFrame]] = {}
+    out: dict[str, Callable[[GraphContext], DataFrame]] = {}
     for spec in CATALOGUE:
-        plans[f"{spec.slug}__general"] = spec.run
+        out[f"{spec.slug}__general"] = spec.run
         own = {k: p[k] for k in spec.params}
         if spec.slug == "tendencia_ofertas":
             own |= {"desde": p["tendencia_desde"], "hasta": p["tendencia_hasta"]}
-        plans[f"{spec.slug}__especifica"] = lambda g, spec=spec, own=own: spec.run(g, **own)
-    plans |= {
+        out[f"{spec.slug}__especifica"] = lambda g, spec=spec, own=own: spec.run(g, **own)
+    out |= {
         "dash_carreras": dashboard.career_list,
         "dash_carrera": lambda g: dashboard.one_career(g, p["carrera_id"]),
         "dash_tendencia_global": lambda g: dashboard.monthly(g, **period),
@@ -43,14 +50,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dash_tendencia_carrera": lambda g: dashboard.monthly_of(g, p["carrera_id"], **period),
     }
     for d in DIMENSIONS:
-        plans[f"dash_demanda_{d}"] = lambda g, d=d: dashboard.demand(g, d, p["carrera_id"], **period)
-        plans[f"dash_cobertura_{d}"] = lambda g, d=d: dashboard.coverage(g, d, p["carrera_id"])
-        plans[f"dash_brechas_{d}"] = lambda g, d=d: dashboard.gaps(g, d, p["carrera_id"], **period)
-        plans[f"dash_industrias_{d}"] = lambda g, d=d: dashboard.industries(g, d, f"{d}|{p['elemento']}", **period)
+        out[f"dash_demanda_{d}"] = lambda g, d=d: dashboard.demand(g, d, p["carrera_id"], **period)
+        out[f"dash_cobertura_{d}"] = lambda g, d=d: dashboard.coverage(g, d, p["carrera_id"])
+        out[f"dash_brechas_{d}"] = lambda g, d=d: dashboard.gaps(g, d, p["carrera_id"], **period)
+        out[f"dash_industrias_{d}"] = lambda g, d=d: dashboard.industries(g, d, f"{d}|{p['elemento']}", **period)
     ids = {"carrera": p["carrera_id"], "empresa": p["empresa_a_id"], "puesto": p["puesto_id"], "industria": p["industria_id"], "curso": p["curso_id"], "competencia": p["competencia_id"]}
     for t in TEMPLATES:
-        plans[f"tpl_{t.id}"] = lambda g, t=t: t.build(g, *([ids[t.label]] if t.label else []))
-    plans |= {
+        out[f"tpl_{t.id}"] = lambda g, t=t: t.build(g, *([ids[t.label]] if t.label else []))
+    out |= {
         "op_interseccion": lambda g: examples.taught_and_asked(g, p["carrera_id"]),
         "op_diferencia": lambda g: examples.asked_not_taught(g, p["carrera_id"]),
         "op_union": lambda g: examples.taught_or_asked(g, p["carrera_id"]),
@@ -62,8 +69,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op_carreras_de_facultad": lambda g: examples.faculty_careers(g, p["facultad_id"]),
         "op_silabos_de_competencia": lambda g: examples.syllabi_of_competence(g, p["competencia_id"]),
     }
-    plans["catalogo_conteos"] = service.frame_counts
-    out = {name: (lambda spark, folder, build=build: build(from_tables(spark, folder))) for name, build in plans.items()}
+    out["catalogo_conteos"] = service.frame_counts
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: (lambda spark, folder, build=build: build(from_tables(spark, folder))) for name, build in plans().items()}
     out["preguntas_intencion"] = lambda spark, folder: questions.intents(_questions(spark)).withColumn("terms", F.array_join("terms", " "))
     out["preguntas_entidad"] = lambda spark, folder: questions.resolve(questions.intents(_questions(spark)), questions.entities(from_tables(spark, folder)))
     turns = lambda spark, folder: spark.read.parquet(f"{folder}/conversations.parquet")
