@@ -1,16 +1,16 @@
-"""Questions in Spanish as a column: which template each asks for, and which entity it names.
+"""Questions in Spanish as a column: which template each asks for, and with which words left for a name.
 
 Every step is a DataFrame operation, so that a log of questions of any length is answered in one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.functions.text import ACCENTED, PLAIN, clean
+from skillgrid.functions.text import clean
+from skillgrid.operators import resolver
 from skillgrid.plans.templates import TEMPLATES
-from skillgrid.sources.graph import GraphContext
 
 # Words that say nothing about a name.
 STOP_WORDS = (
@@ -23,15 +23,12 @@ INJECTIONS = (
     r"revela\s+(tu\s+)?(prompt|instrucciones)", r"muestra\s+(tu\s+)?(prompt|clave|api\s*key)", r"jailbreak", r"act[uú]a\s+como", r"modo\s+desarrollador",
 )
 MAX_QUESTION = 500
-BATCH = 10_000
 
 
 def normalised(text: str) -> Column:
     """Lower case without accents; other signs are spaces, single ones; `cu ntas`, as some consoles send it, is
     mended."""
-    plain = F.translate(F.lower(F.col(text)), ACCENTED, PLAIN)
-    plain = F.btrim(F.regexp_replace(F.regexp_replace(plain, "[̀-ͯ]", ""), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, r"\bcu nt(as|os)\b", r"cuant$1")
+    return F.regexp_replace(clean(text), r"\bcu nt(as|os)\b", r"cuant$1")
 
 
 def acceptable(text: str) -> Column:
@@ -44,45 +41,40 @@ def presentable(text: str) -> Column:
     return F.coalesce((F.char_length(F.btrim(F.col(text), F.lit(" \t\n\r"))) >= 10) & (F.char_length(F.col(text)) <= 2000) & ~F.col(text).rlike("[一-鿿]"), F.lit(False))
 
 
-def _phrases(questions: DataFrame) -> DataFrame:
-    rows = [(t.id, i, t.priority, t.label, p, list(t.vetoes)) for i, t in enumerate(TEMPLATES) for p in t.phrases]
-    return questions.sparkSession.createDataFrame(rows, "template string, place int, priority int, label string, phrase string, vetoes array<string>")
-
-
-def intents(questions: DataFrame) -> DataFrame:
-    """Adds template, label and terms to questions (question_id, text): the template of highest priority, the
-    first of those, one of whose phrases stands whole in the question and none of whose vetoes does; then the
-    words that are left for a name. Questions that match none aren't listed."""
-    asked = questions.select("question_id", normalised("text").alias("q"))
-    padded = F.concat(F.lit(" "), "q", F.lit(" "))
-    hit = padded.contains(F.concat(F.lit(" "), "phrase", F.lit(" "))) & ~F.exists("vetoes", lambda v: F.col("q").contains(v))
-    matched = asked.join(F.broadcast(_phrases(questions)), hit)  # the phrases are a fixed table
-    best = Window.partitionBy("question_id").orderBy(F.desc("priority"), "place", F.desc(F.char_length("phrase")), "phrase")
-    rows = matched.withColumn("k", F.row_number().over(best)).filter("k = 1")
-    words = F.split(F.replace("q", F.col("phrase"), F.lit(" ")), " +")
-    terms = F.filter(words, lambda w: (F.char_length(w) > 1) & ~w.isin(*STOP_WORDS))
-    return rows.select("question_id", "template", "label", terms.alias("terms"))
-
-
-def entities(g: GraphContext) -> DataFrame:
-    """(label, id, nombre) of everything that a question can name."""
-    named = [(k, getattr(g, k).select(F.lit(k).alias("label"), F.col(k).cast("string").alias("id"), F.col(f"{k}_nombre").alias("nombre"))) for k in ("carrera", "facultad", "curso", "empresa", "industria", "puesto")]
-    out = g.conocimiento.select(F.col("dimension").alias("label"), F.col("conocimiento").alias("id"), F.col("conocimiento_nombre").alias("nombre"))
-    for _, df in named:
-        out = out.unionByName(df)
-    return out.filter("nombre IS NOT NULL")
-
-
-def resolve(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """(question_id, id, nombre): for intents with terms, the entity of their label whose cleaned name holds
-    all terms: the shortest name, then the name, then the id.
-
-    A batch of at most BATCH questions is broadcast against the names, which stay where they are; a longer one
-    is joined by label in a shuffle, whose hot labels adaptive execution splits."""
-    wanted = asked.filter("label IS NOT NULL AND size(terms) > 0")
-    pool = names.withColumn("c", clean("nombre"))
-    fits = F.forall("terms", lambda t: F.col("c").contains(t))
-    small = wanted.limit(BATCH + 1).count() <= BATCH
-    rows = pool.join(F.broadcast(wanted) if small else wanted, "label").filter(fits)
-    first = Window.partitionBy("question_id").orderBy(F.char_length("nombre"), "nombre", "id")
-    return rows.withColumn("k", F.row_number().over(first)).filter("k = 1").select("question_id", "id", "nombre")
+def words(q: Column) -> Column:
+    """The words of a normalised text that can be part of a name."""
+    return F.filter(F.split(q, " +"), lambda w: (F.char_length(w) > 1) & ~w.isin(*STOP_WORDS))
+
+
+def _phrases() -> Column:
+    """The templates' phrases as one constant, in the order in which they are to be preferred."""
+    rows = [(-t.priority, i, -len(p), p, t.id, t.label, t.vetoes) for i, t in enumerate(TEMPLATES) for p in t.phrases]
+    names = ("priority", "place", "length", "phrase", "template", "label")
+    vetoes = lambda v: F.array(*map(F.lit, v)) if v else F.lit(None).cast("array<string>")
+    return F.array(*[F.struct(*[F.lit(x).cast("string" if k > 2 else "int").alias(n) for k, (n, x) in enumerate(zip(names, r, strict=False))], vetoes(r[6]).alias("vetoes")) for r in rows])
+
+
+def intents(questions: DataFrame, key: str = "question_id", every: bool = False) -> DataFrame:
+    """(key, template, label, terms) of questions (key, text): the template of highest priority, the first of those,
+    one of whose phrases stands whole in the question and none of whose vetoes does; then the words that are left for a
+    name once its longest such phrase is taken out. Questions that match none aren't listed, or with `every` have no
+    template and keep all their words. A null text is an empty one.
+
+    The phrases are a fixed table that each question goes through where it lies: nothing is shuffled."""
+    asked = questions.select(key, F.coalesce(normalised("text"), F.lit("")).alias("q"))
+    padded = F.concat(F.lit(" "), F.col("q"), F.lit(" "))
+    fits = lambda p: padded.contains(F.concat(F.lit(" "), p["phrase"], F.lit(" "))) & ~F.coalesce(F.exists(p["vetoes"], lambda v: F.col("q").contains(v)), F.lit(False))
+    rows = asked.withColumn("best", F.array_min(F.filter(_phrases(), fits)))
+    if not every:
+        rows = rows.filter("best IS NOT NULL")
+    rest = F.when(F.col("best").isNull(), F.col("q")).otherwise(F.replace("q", F.col("best.phrase"), F.lit(" ")))
+    return rows.select(key, F.col("best.template").alias("template"), F.col("best.label").alias("label"), words(rest).alias("terms"))
+
+
+def mentions(turns: DataFrame, names: DataFrame) -> DataFrame:
+    """(conv_id, turn, place, texto, label, id, nombre) of turns (conv_id, turn, text): every word that names an entity,
+    and where it first stands in its turn, from 0. Rows that share conv_id and turn are one turn."""
+    parts = turns.select("conv_id", "turn", F.posexplode(words(F.coalesce(normalised("text"), F.lit("")))).alias("place", "texto"))
+    parts = parts.groupBy("conv_id", "turn", "texto").agg(F.min("place").alias("place"))
+    asked = parts.select("texto").distinct().select("texto", F.lit(None).cast("string").alias("label"), F.array("texto").alias("terms"))
+    return parts.join(resolver.resolve(asked, names, "texto"), "texto").select("conv_id", "turn", "place", "texto", "label", "id", "nombre")

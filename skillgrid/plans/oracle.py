@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from skillgrid.operators.questions import STOP_WORDS
 from skillgrid.plans.alignment import NO_CURRICULUM, NO_DIMENSION, NOT_ALL_DIMENSIONS
 from skillgrid.plans.alignment import NO_OFFERS as NO_CONTEXT
 from skillgrid.plans.companies import NO_DIFFERENCE, NO_OFFERS, NOT_FOUND
+from skillgrid.plans.templates import TEMPLATES
 
 _GRAPH = """
 oferta AS (SELECT o_orderkey AS oferta, o_orderdate AS fecha FROM orders),
@@ -268,6 +270,34 @@ def examples(p: dict) -> dict[str, str]:
     }
 
 
+_CLEAN = "trim(regexp_replace(translate(lower({}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def conversations() -> dict[str, str]:
+    """SQL of what conversations ask for and name."""
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    phrases = ", ".join(f"('{t.id}', {i}, {t.priority}, {_text(t.label)}, '{p}', [{', '.join(map(_text, t.vetoes))}]::VARCHAR[])" for i, t in enumerate(TEMPLATES) for p in t.phrases)
+    useful = "list_filter(string_split({}, ' '), lambda w: len(w) > 1 AND NOT list_contains([" + stop + "], w))"
+    turns = f"turnos AS (SELECT conv_id, turn, row_number() OVER () AS fila, coalesce({_CLEAN.format('text')}, '') AS q FROM conversations WHERE role = 'user')"
+    labels = ["carrera", "facultad", "curso", "empresa", "industria", "puesto"]
+    nodes = " UNION ALL ".join(f"SELECT '{x}' AS label, {i} AS orden, CAST({x} AS VARCHAR) AS id, {x}_nombre AS nombre FROM {x}" for i, x in enumerate(labels))
+    nodes += " UNION ALL SELECT dimension, CASE dimension WHEN 'competencia' THEN 6 WHEN 'habilidad' THEN 7 ELSE 8 END, conocimiento, conocimiento_nombre FROM conocimiento"
+    nombres = f"nombres AS MATERIALIZED (SELECT label, orden, {_CLEAN.format('nombre')} AS c, arg_min(id, (length(nombre), nombre, id)) AS id, arg_min(nombre, (length(nombre), nombre, id)) AS nombre FROM ({nodes}) WHERE nombre IS NOT NULL GROUP BY label, orden, c)"
+    palabras = f"palabras AS MATERIALIZED (SELECT conv_id, turn, texto, min(place) AS place FROM (SELECT conv_id, turn, unnest(w) AS texto, unnest(range(0, len(w))) AS place FROM (SELECT *, {useful.format('q')} AS w FROM turnos)) GROUP BY ALL)"
+    mencion = "mencion AS MATERIALIZED (SELECT conv_id, turn, CAST(place AS INTEGER) AS place, texto, label, id, nombre FROM palabras JOIN (SELECT texto, label, id, nombre FROM (SELECT texto, n.*, row_number() OVER (PARTITION BY texto ORDER BY orden, length(nombre), nombre, id) AS k FROM (SELECT DISTINCT texto FROM palabras) JOIN nombres n ON contains(n.c, texto)) WHERE k = 1) USING (texto))"
+    named = [turns, nombres, palabras, mencion]
+    return {
+        "preguntas_intencion": f"WITH {turns}, frases(template, orden, prioridad, label, frase, vetos) AS (VALUES {phrases}), "
+        "hallado AS (SELECT fila, f.*, row_number() OVER (PARTITION BY fila ORDER BY prioridad DESC, orden, length(frase) DESC, frase) AS k FROM turnos JOIN frases f ON contains(' ' || q || ' ', ' ' || frase || ' ') AND len(list_filter(vetos, lambda v: contains(q, v))) = 0) "
+        f"SELECT conv_id, turn, template, label, array_to_string({useful.format("CASE WHEN frase IS NULL THEN q ELSE replace(q, frase, ' ') END")}, ' ') AS terms FROM turnos LEFT JOIN (SELECT * FROM hallado WHERE k = 1) USING (fila)",
+        "preguntas_entidad": _sql("SELECT * FROM mencion", *named),
+    }
+
+
+def _text(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
 def further(p: dict) -> dict[str, str]:
     """SQL of the catalogue's counts and of the conversations and events."""
     frames = ["carrera", "facultad", "curso", "conocimiento", "oferta", "empresa", "industria", "puesto", "silabo", "ofrece", "ensenia", "cubre", "dirige", "publica", "agrupa", "requiere", "ofrece_puesto"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skillgrid.operators import dialogue, questions
+from skillgrid.operators import dialogue, questions, resolver
 from skillgrid.plans import dashboard, examples, oracle, service
 from skillgrid.plans.catalog import CATALOGUE
 from skillgrid.plans.templates import TEMPLATES
@@ -19,12 +19,6 @@ PARAMS = {
     "desde": "1998-01-01", "hasta": "2001-06-01", "tendencia_desde": "2000-01-01", "tendencia_hasta": "2001-06-01",
     "puesto_id": 3, "curso_id": 10, "elemento": "small ring", "competencia_id": "competencia|small ring",
 }
-QUESTIONS = (
-    "¿Cuántas carreras hay?", "cu ntas carreras existen", "¿Qué cursos tiene la carrera NATION_3?", "¿A qué facultad pertenece NATION_6?", "top empresas", "empresas con más ofertas dirigidas a NATION_3",
-    "¿Cuántas ofertas laborales publicó Customer#7?", "empresas de NATION_5", "herramientas de la carrera NATION_9", "herramientas de la carrera y además ofertas", "competencias más demandadas",
-    "cursos para small ring", "¿Qué facultades hay?", "hola", "", "puestos más demandados", "cuantos cursos de NATION_12",
-)
-
 
 #: Plans that are asked for a period, which must reach the scan of the offers.
 PERIODS = frozenset(
@@ -75,18 +69,21 @@ def plans() -> dict[str, Callable[[GraphContext], DataFrame]]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda spark, folder, build=build: build(from_tables(spark, folder))) for name, build in plans().items()}
-    out["preguntas_intencion"] = lambda spark, folder: questions.intents(_questions(spark)).withColumn("terms", F.array_join("terms", " "))
-    out["preguntas_entidad"] = lambda spark, folder: questions.resolve(questions.intents(_questions(spark)), questions.entities(from_tables(spark, folder)))
     turns = lambda spark, folder: spark.read.parquet(f"{folder}/conversations.parquet")
+    asked = lambda spark, folder: turns(spark, folder).filter("role = 'user'")
+    named = lambda spark, folder: questions.mentions(asked(spark, folder), resolver.entities(from_tables(spark, folder)))
+    out["preguntas_intencion"] = lambda spark, folder: _intents(asked(spark, folder))
+    out["preguntas_entidad"] = named
     out["conversaciones_bloques"] = lambda spark, folder: dialogue.blocks(turns(spark, folder))
     out["conversaciones_guarda"] = lambda spark, folder: turns(spark, folder).select("conv_id", "turn", "role", questions.normalised("text").alias("limpio"), questions.acceptable("text").alias("aceptable"), questions.presentable("text").alias("presentable"))
     out["eventos_por_dia"] = lambda spark, folder: monthly.counts(spark.read.parquet(f"{folder}/events.parquet"), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("dia"), "event_type", "n")
     return out
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, text string")
+def _intents(turns: DataFrame) -> DataFrame:
+    found = questions.intents(turns.select(F.struct("conv_id", "turn").alias("question_id"), "text"), every=True)
+    return found.select("question_id.conv_id", "question_id.turn", "template", "label", F.array_join("terms", " ").alias("terms"))
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.catalogue(PARAMS) | oracle.dashboard(PARAMS) | oracle.templates(PARAMS) | oracle.examples(PARAMS) | oracle.further(PARAMS)
+    return oracle.catalogue(PARAMS) | oracle.dashboard(PARAMS) | oracle.templates(PARAMS) | oracle.examples(PARAMS) | oracle.further(PARAMS) | oracle.conversations()

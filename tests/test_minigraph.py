@@ -6,7 +6,7 @@ import minigraph
 import pytest
 from conftest import SMALL
 
-from skillgrid.operators import dialogue, questions
+from skillgrid.operators import dialogue, questions, resolver
 from skillgrid.plans import alignment, companies, dashboard, panorama, service
 from skillgrid.plans.catalog import BY_SLUG, CATALOGUE
 from skillgrid.plans.templates import TEMPLATES
@@ -188,7 +188,7 @@ def test_templates(g, spark):
     out = {r["question_id"]: r for r in rows(found)}
     assert {k: v["template"] for k, v in out.items()} == {1: "contar_carreras", 2: "ofertas_de_empresa", 5: "contar_cursos_de_carrera", 7: "contar_carreras"}
     assert out[2]["terms"] == ["eventiva"]
-    named = {r["question_id"]: r["id"] for r in rows(questions.resolve(found, questions.entities(g)))}
+    named = {r["question_id"]: r["id"] for r in rows(resolver.resolve(found, resolver.entities(g)))}
     assert named == {2: "EA", 5: "C1"}
     build = {t.id: t.build for t in TEMPLATES}
     assert rows(build["ofertas_de_empresa"](g, named[2])) == [{"ofertas": 6}]

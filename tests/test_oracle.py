@@ -22,4 +22,4 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) - set(SQL) == {"preguntas_intencion", "preguntas_entidad"}
+    assert set(registry.queries()) == set(SQL)
