@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skillgrid.operators.dialogue import MORE_REFERENCES, REFERENCES
 from skillgrid.operators.questions import STOP_WORDS
 from skillgrid.plans.alignment import NO_CURRICULUM, NO_DIMENSION, NOT_ALL_DIMENSIONS
 from skillgrid.plans.alignment import NO_OFFERS as NO_CONTEXT
@@ -286,11 +287,30 @@ def conversations() -> dict[str, str]:
     palabras = f"palabras AS MATERIALIZED (SELECT conv_id, turn, texto, min(place) AS place FROM (SELECT conv_id, turn, unnest(w) AS texto, unnest(range(0, len(w))) AS place FROM (SELECT *, {useful.format('q')} AS w FROM turnos)) GROUP BY ALL)"
     mencion = "mencion AS MATERIALIZED (SELECT conv_id, turn, CAST(place AS INTEGER) AS place, texto, label, id, nombre FROM palabras JOIN (SELECT texto, label, id, nombre FROM (SELECT texto, n.*, row_number() OVER (PARTITION BY texto ORDER BY orden, length(nombre), nombre, id) AS k FROM (SELECT DISTINCT texto FROM palabras) JOIN nombres n ON contains(n.c, texto)) WHERE k = 1) USING (texto))"
     named = [turns, nombres, palabras, mencion]
+    en_orden = "ORDER BY hora, turn, place, label, id"
+    memoria = [
+        "reloj AS (SELECT conv_id, turn, CAST(sum(sum(length(text))) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS hora FROM conversations GROUP BY conv_id, turn)",
+        f"con_hora AS (SELECT *, lag(hora) OVER (PARTITION BY conv_id {en_orden}) AS antes FROM mencion JOIN reloj USING (conv_id, turn))",
+        f"con_inicio AS (SELECT *, max(CASE WHEN antes IS NULL OR hora - antes > 1800 THEN hora END) OVER (PARTITION BY conv_id {en_orden} ROWS UNBOUNDED PRECEDING) AS since FROM con_hora)",
+        f"marcado AS (SELECT *, CASE WHEN id = lag(id) OVER (PARTITION BY conv_id, since, label {en_orden}) THEN 0 ELSE 1 END AS cambia FROM con_inicio)",
+        f"contado AS (SELECT *, CAST(sum(cambia) OVER (PARTITION BY conv_id, since, label {en_orden} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS changes FROM marcado)",
+        "cambio AS (SELECT conv_id, since, label, changes, any_value(id) AS id, any_value(nombre) AS nombre FROM contado GROUP BY ALL)",
+        """memoria AS MATERIALIZED (SELECT m.conv_id, m.turn, m.place, m.hora, m.label, m.id, m.nombre, m.since, m.changes, p.id AS previous_id, p.nombre AS previous, f.id AS first_id, f.nombre AS first
+        FROM contado m LEFT JOIN cambio p ON (p.conv_id, p.since, p.label, p.changes) = (m.conv_id, m.since, m.label, m.changes - 1) JOIN cambio f ON (f.conv_id, f.since, f.label, f.changes) = (m.conv_id, m.since, m.label, greatest(1, m.changes - 7)))""",
+    ]
+    kinds = " ".join(rf"WHEN regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])({REFERENCES[k]}|{MORE_REFERENCES[k]})($|[^\p{{L}}\p{{N}}_])', 'i') THEN '{k}'" for k in REFERENCES)
+    refiere = f"refiere AS (SELECT conv_id, turn, hora, CASE {kinds} END AS kind FROM conversations JOIN reloj USING (conv_id, turn) WHERE role = 'user')"
+    hallada = """hallada AS (SELECT r.conv_id, r.turn, r.kind, m.*, row_number() OVER (PARTITION BY r.conv_id, r.turn, m.label ORDER BY m.hora DESC, m.t DESC, m.place DESC) AS k FROM refiere r
+        JOIN (SELECT conv_id AS c, turn AS t, * EXCLUDE (conv_id, turn) FROM memoria) m ON m.c = r.conv_id AND m.t < r.turn
+        WHERE r.kind IS NOT NULL AND (r.hora - (SELECT max(x.hora) FROM memoria x WHERE x.conv_id = r.conv_id AND x.turn < r.turn)) <= 1800 AND m.since = (SELECT max(x.since) FROM memoria x WHERE x.conv_id = r.conv_id AND x.turn < r.turn))"""
+    meant = "CASE kind WHEN 'previous' THEN {p} WHEN 'first' THEN {f} ELSE {a} END"
     return {
         "preguntas_intencion": f"WITH {turns}, frases(template, orden, prioridad, label, frase, vetos) AS (VALUES {phrases}), "
         "hallado AS (SELECT fila, f.*, row_number() OVER (PARTITION BY fila ORDER BY prioridad DESC, orden, length(frase) DESC, frase) AS k FROM turnos JOIN frases f ON contains(' ' || q || ' ', ' ' || frase || ' ') AND len(list_filter(vetos, lambda v: contains(q, v))) = 0) "
         f"SELECT conv_id, turn, template, label, array_to_string({useful.format("CASE WHEN frase IS NULL THEN q ELSE replace(q, frase, ' ') END")}, ' ') AS terms FROM turnos LEFT JOIN (SELECT * FROM hallado WHERE k = 1) USING (fila)",
         "preguntas_entidad": _sql("SELECT * FROM mencion", *named),
+        "conversaciones_memoria": _sql('SELECT * EXCLUDE (hora), hora AS "at" FROM memoria', *named, *memoria),
+        "conversaciones_referencias": _sql(f"SELECT conv_id, turn, kind, label, {meant.format(p='previous_id', f='first_id', a='id')} AS id, {meant.format(p='previous', f='first', a='nombre')} AS nombre FROM hallada WHERE k = 1 AND NOT (kind = 'previous' AND changes < 2)", *named, *memoria, refiere, hallada),
     }
 
 

@@ -74,6 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = lambda spark, folder: questions.mentions(asked(spark, folder), resolver.entities(from_tables(spark, folder)))
     out["preguntas_intencion"] = lambda spark, folder: _intents(asked(spark, folder))
     out["preguntas_entidad"] = named
+    timed = lambda spark, folder: named(spark, folder).join(dialogue.clock(turns(spark, folder)), ["conv_id", "turn"])
+    out["conversaciones_memoria"] = lambda spark, folder: dialogue.memory(timed(spark, folder))
+    out["conversaciones_referencias"] = lambda spark, folder: dialogue.references(
+        asked(spark, folder).join(dialogue.clock(turns(spark, folder)), ["conv_id", "turn"]), dialogue.memory(timed(spark, folder)), patterns=(dialogue.REFERENCES, dialogue.MORE_REFERENCES)
+    )
     out["conversaciones_bloques"] = lambda spark, folder: dialogue.blocks(turns(spark, folder))
     out["conversaciones_guarda"] = lambda spark, folder: turns(spark, folder).select("conv_id", "turn", "role", questions.normalised("text").alias("limpio"), questions.acceptable("text").alias("aceptable"), questions.presentable("text").alias("presentable"))
     out["eventos_por_dia"] = lambda spark, folder: monthly.counts(spark.read.parquet(f"{folder}/events.parquet"), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("dia"), "event_type", "n")

@@ -206,6 +206,3 @@ def test_dialogue(spark):
     turns = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(14)], "conv_id int, turn int, role string, text string")
     out = sorted(rows(dialogue.blocks(turns)), key=lambda r: r["block"])
     assert [(r["n_turns"], r["complete"]) for r in out] == [(12, True), (2, False)] and out[1]["text"] == "user: t12 | user: t13"
-    said = [(1, 1, "carrera", "C1"), (1, 2, "carrera", "C1"), (1, 3, "carrera", "C2"), (1, 4, "carrera", "C3")]
-    out = rows(dialogue.entity_memory(spark.createDataFrame(said, "conv_id int, turn int, label string, id string")).orderBy("turn"))
-    assert [(r["turn"], r["active"], r["previous"], r["first"]) for r in out] == [(1, "C1", None, "C1"), (3, "C2", "C1", "C1"), (4, "C3", "C2", "C1")]
