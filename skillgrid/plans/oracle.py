@@ -318,6 +318,45 @@ def _text(x: str | None) -> str:
     return "NULL" if x is None else f"'{x}'"
 
 
+#: Relations whose both ends are nodes or coverage records, with the frame of each.
+_RELATIONS = (
+    ("ofrece", "facultad", "OFRECE", "carrera"), ("ensenia", "carrera", "ENSENIA", "curso"), ("cubre", "curso", "TIENE", "cobertura"), ("cubre", "cobertura", "CUBRE", "conocimiento"), ("dirige", "oferta", "DIRIGE_A", "carrera"),
+    ("publica", "empresa", "PUBLICA", "oferta"), ("agrupa", "industria", "AGRUPA", "empresa"), ("requiere", "oferta", "REQUIERE", "conocimiento"), ("ofrece_puesto", "oferta", "OFRECE", "puesto"), ("define", "puesto", "DEFINE", "conocimiento"),
+)
+_DEFINE = "define AS (SELECT oferta AS puesto, conocimiento FROM requiere)"
+
+
+def graph() -> dict[str, str]:
+    """SQL of what the graph holds and of what is wrong with it."""
+    labels = ["carrera", "facultad", "curso", "conocimiento", "oferta", "empresa", "industria", "puesto"]
+    checks = []
+    for x in labels:
+        checks += [f"SELECT '{x}' AS objeto, 'nulo' AS problema, count(*) AS n, CAST(NULL AS VARCHAR) AS ejemplo FROM {x} WHERE {x} IS NULL", f"SELECT '{x}', 'repetido', count(*), min(id) FROM (SELECT CAST({x} AS VARCHAR) AS id FROM {x} WHERE {x} IS NOT NULL GROUP BY {x} HAVING count(*) > 1)"]
+    for frame, a, relation, b in _RELATIONS:
+        triple = f"{a}-{relation}-{b}"
+        for side, end in (("origen", a), ("destino", b)):
+            if end in labels:
+                ids = f"(SELECT CAST({end} AS VARCHAR) AS id, count(*) AS k FROM {frame} WHERE {end} IS NOT NULL GROUP BY {end})"
+                checks += [
+                    f"SELECT '{triple}', '{side} nulo', count(*), NULL FROM {frame} WHERE {end} IS NULL", f"SELECT '{triple}', '{side} inexistente', count(*), min(id) FROM {ids} WHERE id NOT IN (SELECT CAST({end} AS VARCHAR) FROM {end} WHERE {end} IS NOT NULL)",
+                    f"SELECT '{triple}', '{side} muy frecuente', count(*), min(id) FROM {ids} WHERE k > 0.05 * (SELECT count(*) FROM {frame})",
+                ]
+        if frame != "cubre":
+            checks.append(f"SELECT '{triple}', 'repetida', count(*), min(id) FROM (SELECT concat_ws(' ', {a}, {b}) AS id FROM {frame} GROUP BY {a}, {b} HAVING count(*) > 1)")
+    kinds = {"carrera": "int", "facultad": "int", "curso": "bigint", "conocimiento": "string", "oferta": "bigint", "empresa": "bigint", "industria": "int", "puesto": "bigint"}
+    more = {"conocimiento": [("dimension", "string")], "oferta": [("fecha", "timestamp_ntz")], "empresa": [("tipo", "string")]}
+    each = []
+    for x in labels:
+        named = [] if x == "oferta" else [(f"{x}_nombre", "string", "'nombre'", f"(SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT {x}_nombre AS v FROM {x} WHERE {x}_nombre <> '' ORDER BY v LIMIT 5))")]
+        for name, kind, rol, some in [(x, kinds[x], "'id'", "NULL"), *named, *[(c, k, "NULL", "NULL") for c, k in more.get(x, [])]]:
+            each.append(f"SELECT '{x}' AS label, '{name}' AS propiedad, '{kind}' AS tipo, {rol} AS rol, count(*) AS filas, count({name}) AS presentes, {some} AS ejemplos FROM {x}")
+    return {
+        "grafo_integridad": _sql(" UNION ALL ".join(checks), _DEFINE),
+        "metadatos_propiedades": _sql(" UNION ALL ".join(each)),
+        "metadatos_topologia": _sql(" UNION ALL ".join(f"SELECT '{a}' AS origen, '{r}' AS relacion, '{b}' AS destino, count(*) AS n FROM {f} WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for f, a, r, b in _RELATIONS), _DEFINE),
+    }
+
+
 def further(p: dict) -> dict[str, str]:
     """SQL of the catalogue's counts and of the conversations and events."""
     frames = ["carrera", "facultad", "curso", "conocimiento", "oferta", "empresa", "industria", "puesto", "silabo", "ofrece", "ensenia", "cubre", "dirige", "publica", "agrupa", "requiere", "ofrece_puesto"]

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.operators import dialogue, questions, resolver
-from skillgrid.plans import dashboard, examples, oracle, service
+from skillgrid.plans import dashboard, examples, metadata, oracle, service
 from skillgrid.plans.catalog import CATALOGUE
 from skillgrid.plans.templates import TEMPLATES
+from skillgrid.sources import stored
 from skillgrid.sources.graph import DIMENSIONS, GraphContext, from_tables
 from skillgrid.streaming import monthly
 
@@ -63,7 +64,7 @@ def plans() -> dict[str, Callable[[GraphContext], DataFrame]]:
         "op_carreras_de_facultad": lambda g: examples.faculty_careers(g, p["facultad_id"]),
         "op_silabos_de_competencia": lambda g: examples.syllabi_of_competence(g, p["competencia_id"]),
     }
-    out["catalogo_conteos"] = service.frame_counts
+    out |= {"catalogo_conteos": service.frame_counts, "grafo_integridad": stored.integrity, "metadatos_propiedades": metadata.properties, "metadatos_topologia": metadata.topology}
     return out
 
 
@@ -91,4 +92,4 @@ def _intents(turns: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.catalogue(PARAMS) | oracle.dashboard(PARAMS) | oracle.templates(PARAMS) | oracle.examples(PARAMS) | oracle.further(PARAMS) | oracle.conversations()
+    return oracle.catalogue(PARAMS) | oracle.dashboard(PARAMS) | oracle.templates(PARAMS) | oracle.examples(PARAMS) | oracle.further(PARAMS) | oracle.conversations() | oracle.graph()

@@ -38,6 +38,10 @@ def moment(value: str | datetime) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{t.isoformat(sep=' ')}'")
 
 
+def month_of(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM")
+
+
 @dataclass(frozen=True)
 class GraphContext:
     """carrera, facultad, curso, conocimiento (with dimension), oferta (with fecha), empresa (with tipo),
@@ -63,9 +67,11 @@ class GraphContext:
     requiere: DataFrame
     ofrece_puesto: DataFrame
     define: DataFrame
+    #: Months of the offers (mes, n, desde, hasta), where the graph keeps them: oferta then has mes as well.
+    meses: DataFrame | None = None
 
     def frames(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "meses"}
 
     def register(self, prefix: str = "") -> None:
         """Makes the frames views for SQL."""
@@ -75,18 +81,25 @@ class GraphContext:
     def cutoff(self) -> DataFrame:
         """One row: corte, the last publication (null without dated offers), and inicio, the first day of the
         month eleven months before it."""
-        corte = self.oferta.agg(F.max("fecha").alias("corte"))
+        corte = self.oferta.agg(F.max("fecha").alias("corte")) if self.meses is None else self.meses.agg(F.max("hasta").alias("corte"))
         return corte.withColumn("inicio", F.add_months(F.trunc(F.to_date("corte"), "MM"), -11))
 
     def recent(self) -> DataFrame:
         """Offers from inicio to the cut-off, both included. The bounds are scalar subqueries, which Spark
         runs first and hands to the scan as values."""
         inicio, corte = self.cutoff().select(F.col("inicio").cast("timestamp_ntz")).scalar(), self.cutoff().select("corte").scalar()
-        return self.oferta.filter((F.col("fecha") >= inicio) & (F.col("fecha") <= corte)).select("oferta", "fecha")
+        out = self.oferta.filter((F.col("fecha") >= inicio) & (F.col("fecha") <= corte))
+        return self._in_months(out, inicio, corte).select("oferta", "fecha")
 
     def between(self, desde: str | datetime, hasta: str | datetime) -> DataFrame:
         """Offers published from desde on and before hasta."""
-        return self.oferta.filter((F.col("fecha") >= moment(desde)) & (F.col("fecha") < moment(hasta)))
+        return self._in_months(self.oferta.filter((F.col("fecha") >= moment(desde)) & (F.col("fecha") < moment(hasta))), moment(desde), moment(hasta))
+
+    def _in_months(self, offers: DataFrame, first: Column, last: Column) -> DataFrame:
+        """The same offers, read from the folders of their months only where they are kept by month."""
+        if self.meses is None:
+            return offers
+        return offers.filter((F.col("mes") >= month_of(first)) & (F.col("mes") <= month_of(last))).drop("mes")
 
     def context(self, desde: str | datetime, hasta: str | datetime, carrera: object = None, industria: object = None) -> DataFrame:
         """Distinct offers of a period, directed to a career and published by companies of an industry."""

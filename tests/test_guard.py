@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from skillgrid.operators import adhoc, topology
-from skillgrid.plans import audit, registry, service
+from skillgrid.plans import audit, metadata, registry
 
 
 @pytest.fixture(scope="module")
@@ -121,7 +121,7 @@ def test_generated_sql_may_try_twice(guard, g):
         seen.append(error)
         return "SELECT * FROM nothing_here" if error is None else "SELECT empresa_nombre FROM mini_empresa WHERE empresa_nombre = 'Casa'"
 
-    assert [tuple(r) for r in guard.answered("uno", service.schema_text(g), generate).collect()] == [("Casa",)] and len(seen) == 2
+    assert [tuple(r) for r in guard.answered("uno", metadata.schema_text(g), generate).collect()] == [("Casa",)] and len(seen) == 2
     with pytest.raises(adhoc.Rejected):
         guard.answered("uno", "", lambda *_: "SELECT 1 AS uno, array(1) AS dos")
 

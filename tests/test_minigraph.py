@@ -144,13 +144,28 @@ def test_job_titles(g):
     assert rows(companies.job_titles_of(g, "C3", **YEAR))[0]["titulo_publicado"] == "analista"
 
 
-def test_dashboard_keeps_missing_apart_from_zero(g):
-    from datetime import date
-
-    out = service.gaps(g, "competencia", "C3", date(2025, 1, 1), date(2025, 12, 31))
-    assert out["disponible"] is False and out["filas"] == []
-    out = service.gaps(g, "competencia", "C1", date(2025, 1, 1), date(2025, 12, 31))
-    assert [(r["id"], r["brecha"]) for r in out["filas"]] == [("k2", 2 / 6), ("k1", 4 / 6 - 1.0)]
+def test_payloads_keep_missing_apart_from_zero(g):
+    from datetime import date, datetime
+
+    year = (date(2025, 1, 1), date(2025, 12, 31))
+    for out in (service.gaps(g, "competencia", "C3", *year), service.coverage(g, "competencia", "C3")):
+        assert out["disponible"] is False and out["filas"] == [] and out["motivo"] and out["carrera"] == {"id": "C3", "nombre": "Arte", "cursos_conectados": 0, "cobertura_disponible": False}
+    out = service.gaps(g, "competencia", "C1", *year)
+    assert [(r["id"], r["brecha"]) for r in out["filas"]] == [("k2", 2 / 6), ("k1", 4 / 6 - 1.0)] and out["titulo"] == "Competencias" and out["periodo"] == {"desde": "2025-01-01", "hasta": "2025-12-31"}
+    assert service.coverage(g, "competencia", "C1")["filas"] == [{"id": "k1", "elemento": "Python", "cursos_con_cobertura": 2, "total_cursos": 2, "cobertura": 1.0}]
+    assert [c["id"] for c in service.careers(g) if c["cobertura_disponible"]] == ["C2", "C1"]
+    assert service.metadata(g) == {"periodo_disponible": {"desde": "2024-11-20", "hasta": "2025-12-15"}, "dimensiones": [{"id": "competencia", "nombre": "Competencias"}, {"id": "habilidad", "nombre": "Habilidades"}, {"id": "herramienta", "nombre": "Herramientas"}]}
+    assert service.metadata(replace(g, oferta=g.oferta.limit(0)))["periodo_disponible"] == {"desde": None, "hasta": None}
+    trend = service.trend(g, *year)
+    assert trend["carrera"] is None and trend["filas"][0] == {"anio": 2025, "mes": 1, "ofertas": 2} and sum(r["ofertas"] for r in trend["filas"]) == 10
+    assert sum(r["ofertas"] for r in service.trend(g, *year, "C2")["filas"]) == 3
+    assert service.demand(g, "herramienta", "C1", *year)["filas"] == [{"id": "t1", "elemento": "Excel", "ofertas": 2}]
+    lost = replace(g, industria=g.industria.selectExpr("industria", "nullif(industria_nombre, 'Banca') AS industria_nombre"))
+    assert service.industries(lost, "competencia", "k1", *year)["filas"] == [{"industria": "Comercio", "ofertas": 3}, {"industria": "Sin industria", "ofertas": 2}]
+    for call in (lambda: service.career(g, " "), lambda: service.career(g, "C9"), lambda: service.industries(g, "competencia", "", *year), lambda: service.trend(g, *year, "C9"), lambda: service.coverage(g, "saber", "C1")):
+        with pytest.raises(ValueError):
+            call()
+    assert (service.whole(None), service.decimal(None), service.iso_date(datetime(2025, 1, 2, 3)), service.iso_date("2025-01-02T03:00"), service.iso_date(date(2025, 1, 2))) == (0, 0.0, "2025-01-02", "2025-01-02", "2025-01-02")
     for wrong in (("saber", 5), ("habilidad", 0), ("habilidad", 26)):
         with pytest.raises(ValueError):
             service.request(*wrong)
