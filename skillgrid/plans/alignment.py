@@ -46,8 +46,9 @@ def _status(g: GraphContext, carrera_id: object, dimension: str, industria_id: o
     row = g.carrera.filter(F.col("carrera") == F.lit(carrera_id))
     if industria_id is not None:
         row = row.crossJoin(g.industria.filter(F.col("industria") == F.lit(industria_id)))
-    row = row.crossJoin(g.ensenia.filter(F.col("carrera") == F.lit(carrera_id)).agg(F.countDistinct("curso").alias("total_cursos")))
-    row = row.crossJoin(g.coverage(carrera_id, dimension).agg(F.countDistinct("cobertura").alias("dimension_coverage_n")))
+    covered = g.cubre.join(g.conocimiento.filter(F.col("dimension") == dimension), "conocimiento", "left_semi")
+    taught = g.ensenia.filter(F.col("carrera") == F.lit(carrera_id)).select("curso").join(covered, "curso", "left")
+    row = row.crossJoin(taught.agg(F.countDistinct("curso").alias("total_cursos"), F.countDistinct("cobertura").alias("dimension_coverage_n")))
     status = F.when(F.col("total_cursos") == 0, "unavailable").when(F.col("dimension_coverage_n") == 0, "incomplete")
     if offers is not None:
         row = row.crossJoin(offers.agg(F.countDistinct("oferta").alias("total_ofertas")))
@@ -141,12 +142,24 @@ def currency_of(g: GraphContext, carrera_id: object, industria_id: object, tipo_
     return _difference_of(g, True, -1, carrera_id, industria_id, tipo_conocimiento, desde, hasta)
 
 
+def _offers_by_course(asked: DataFrame, pairs: DataFrame, per: list[str]) -> DataFrame:
+    """(per..., curso, ofertas): how many offers of asked (per..., oferta, conocimiento) ask for anything that a course of
+    pairs (per..., curso, conocimiento) covers.
+
+    What teaches an element is one short list, so that an offer's rows stay as many as it asks for; offers that the
+    same courses answer are added up before they are counted for each course."""
+    taught = pairs.groupBy(*per, "conocimiento").agg(F.collect_set("curso").alias("cursos"))
+    answered = asked.join(taught, [*per, "conocimiento"]).groupBy(*per, "oferta").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cursos")))).alias("cursos"))
+    alike = answered.groupBy(*per, "cursos").agg(F.count("*").alias("n"))
+    return alike.select(*per, F.explode("cursos").alias("curso"), "n").groupBy(*per, "curso").agg(F.sum("n").alias("ofertas"))
+
+
 def courses(g: GraphContext) -> DataFrame:
     """Courses by recent offers for their own career that ask for what they cover."""
-    asked = g.recent().join(g.dirige, "oferta").join(g.requiere, "oferta").select("oferta", "carrera", "conocimiento").distinct()
+    asked = g.recent().join(g.dirige, "oferta").join(g.requiere, "oferta").select("oferta", "carrera", "conocimiento")
     pairs, keys = g.coverage().select("carrera", "curso", "conocimiento").distinct(), ["carrera", "curso"]
     shared = pairs.join(asked.select("carrera", "conocimiento").distinct(), ["carrera", "conocimiento"], "left_semi").groupBy(*keys).agg(F.count("*").alias("conocimientos_compartidos"))
-    rows = pairs.join(asked, ["carrera", "conocimiento"]).select(*keys, "oferta").distinct().groupBy(*keys).agg(F.count("*").alias("ofertas")).join(shared, keys)
+    rows = _offers_by_course(asked, pairs, ["carrera"]).join(shared, keys)
     rows = with_total(rows.join(g.curso, "curso").join(g.carrera, "carrera"), "ofertas")
     rows = top(rows, 20, desc("ofertas"), desc("conocimientos_compartidos"), asc("curso_nombre"), asc("carrera"), asc("curso"))
     careers = g.carrera.agg(F.countDistinct("carrera").alias("total_carreras")).crossJoin(g.carrera.join(g.ensenia, "carrera", "left_semi").agg(F.countDistinct("carrera").alias("carreras_perfiladas")))
@@ -161,8 +174,9 @@ def courses_of(g: GraphContext, carrera_id: object, industria_id: object, tipo_c
     """A career's courses of a dimension by offers of an industry; courses that no offer asks for stay."""
     offers = g.context(desde, hasta, carrera_id, industria_id)
     pairs = g.coverage(carrera_id, tipo_conocimiento).select("curso", "conocimiento").distinct()
-    rows = pairs.join(offers.join(g.requiere, "oferta").select("oferta", "conocimiento"), "conocimiento", "left")
-    rows = rows.groupBy("curso").agg(F.countDistinct(F.when(F.col("oferta").isNotNull(), F.col("conocimiento"))).alias("conocimientos_compartidos"), F.countDistinct("oferta").alias("ofertas")).join(g.curso, "curso")
+    asked = offers.join(g.requiere, "oferta").select("oferta", "conocimiento")
+    shared = pairs.join(asked.select("conocimiento").distinct().withColumn("asked", F.lit(1)), "conocimiento", "left").groupBy("curso").agg(F.count("asked").alias("conocimientos_compartidos"))
+    rows = shared.join(_offers_by_course(asked, pairs, []), "curso", "left").withColumn("ofertas", F.coalesce("ofertas", F.lit(0)).cast("long")).join(g.curso, "curso")
     rows = top(rows, 20, desc("ofertas"), desc("conocimientos_compartidos"), asc("curso_nombre"), asc("curso"))
     out = gate(_status(g, carrera_id, tipo_conocimiento, industria_id, offers), rows)
     return out.orderBy(asc("rank")).select(
