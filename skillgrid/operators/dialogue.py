@@ -7,6 +7,8 @@ sorted, never held together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,33 @@ def blocks(turns: DataFrame, size: int = BLOCK_TURNS) -> DataFrame:
     return rows.select("conv_id", "block", "n_turns", (F.col("n_turns") == size).alias("complete"), F.array_join(F.col("lines.line"), " | ").alias("text"))
 
 
+def exchanges(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, line) of turns (conv_id, turn, role, text): every question with the answer that follows it before
+    the next question, as one line; a question without one has an empty answer."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.filter(F.col("role").isin("user", "assistant"))
+    rows = rows.withColumn("next", F.lead(F.struct("role", F.coalesce("text", F.lit("")).alias("text"))).over(order))
+    answer = F.when(F.col("next.role") == "assistant", F.col("next.text")).otherwise("")
+    return rows.filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("P: "), F.coalesce("text", F.lit("")), F.lit(" | R: "), answer).alias("line"))
+
+
+def opening_words(lines: Column, chars: int = 80) -> Column:
+    """A summary that needs no model: how each exchange begins."""
+    return F.array_join(F.transform(lines, lambda x: F.substring(x, 1, chars)), "\n")
+
+
+def summaries(turns: DataFrame, summarise: Callable[[Column], Column] = opening_words, size: int = BLOCK_TURNS) -> DataFrame:
+    """(conv_id, block, n, summary, pending) of turns: every `size` exchanges, in order, as summarise(their lines) says. A
+    block that isn't full, and one whose summary is null, has its lines as pending instead: they are not lost. A block is
+    bounded by its size; a null conversation is one like any other."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "line")) - 1
+    rows = exchanges(turns).withColumn("place", place).withColumn("block", F.floor(F.col("place") / size).cast("long"))
+    rows = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("held"))
+    rows = rows.select("conv_id", "block", "n", F.col("held.line").alias("lines"))
+    rows = rows.withColumn("summary", F.when(F.col("n") == size, summarise(F.col("lines"))))
+    return rows.select("conv_id", "block", "n", "summary", F.when(F.col("summary").isNull(), F.array_join("lines", "\n")).alias("pending"))
+
+
 def clock(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, at) of turns (conv_id, turn, text) that carry no time: a second passes for each character said,
     up to the turn's end. Rows that share conv_id and turn are one turn."""

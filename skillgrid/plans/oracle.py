@@ -365,6 +365,9 @@ def further(p: dict) -> dict[str, str]:
     return {
         "catalogo_conteos": _sql(counts),
         "conversaciones_bloques": "SELECT conv_id, CAST(p // 12 AS BIGINT) AS block, count(*) AS n_turns, count(*) = 12 AS complete, string_agg(role || ': ' || text, ' | ' ORDER BY p) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p FROM conversations) GROUP BY ALL",
+        "conversaciones_resumenes": """WITH par AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) - 1 AS p FROM (SELECT conv_id, turn, role, 'P: ' || text || ' | R: ' || CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w ELSE '' END AS line
+            FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user')
+            SELECT conv_id, CAST(p // 2 AS BIGINT) AS block, count(*) AS n, CASE WHEN count(*) = 2 THEN string_agg(line[1:80], E'\\n' ORDER BY p) END AS summary, CASE WHEN count(*) < 2 THEN string_agg(line, E'\\n' ORDER BY p) END AS pending FROM par GROUP BY conv_id, p // 2""",
         "conversaciones_guarda": f"SELECT conv_id, turn, role, {clean} AS limpio, length(text) <= 500 AND NOT regexp_matches({clean}, 'ignora\\s+|olvida\\s+|ahora\\s+eres|jailbreak') AS aceptable, length(trim(text, E' \\t\\n\\r')) >= 10 AND length(text) <= 2000 AND NOT regexp_matches(text, '[一-鿿]') AS presentable FROM conversations",
         "eventos_por_dia": "SELECT strftime(ts, '%Y-%m-%d') AS dia, event_type, count(*) AS n FROM events GROUP BY ALL",
     }

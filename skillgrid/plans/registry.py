@@ -21,6 +21,8 @@ PARAMS = {
     "puesto_id": 3, "curso_id": 10, "elemento": "small ring", "competencia_id": "competencia|small ring",
 }
 
+#: Exchanges of a summary in the registered query; the given conversations have four at most.
+SUMMARY_TURNS = 2
 #: Plans that are asked for a period, which must reach the scan of the offers.
 PERIODS = frozenset(
     [f"{spec.slug}__especifica" for spec in CATALOGUE if "desde" in spec.params] + ["dash_tendencia_global", "dash_tendencia_carrera"] + [f"dash_{view}_{d}" for view in ("demanda", "brechas", "industrias") for d in DIMENSIONS]
@@ -81,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         asked(spark, folder).join(dialogue.clock(turns(spark, folder)), ["conv_id", "turn"]), dialogue.memory(timed(spark, folder)), patterns=(dialogue.REFERENCES, dialogue.MORE_REFERENCES)
     )
     out["conversaciones_bloques"] = lambda spark, folder: dialogue.blocks(turns(spark, folder))
+    out["conversaciones_resumenes"] = lambda spark, folder: dialogue.summaries(turns(spark, folder), size=SUMMARY_TURNS)
     out["conversaciones_guarda"] = lambda spark, folder: turns(spark, folder).select("conv_id", "turn", "role", questions.normalised("text").alias("limpio"), questions.acceptable("text").alias("aceptable"), questions.presentable("text").alias("presentable"))
     out["eventos_por_dia"] = lambda spark, folder: monthly.counts(spark.read.parquet(f"{folder}/events.parquet"), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("dia"), "event_type", "n")
     return out

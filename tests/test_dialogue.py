@@ -106,6 +106,17 @@ def test_turns_mean_what_was_in_mind_before_them(spark):
     assert [r[0] for r in kinds.collect()] == ["active", "previous", "first"]
 
 
+def test_blocks_are_summarised_or_kept(spark):
+    turns = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(10)] + [(1, 0, "system", "s"), (2, 1, "user", "a"), (2, 2, "user", None), (2, 3, "assistant", None), (3, 1, "assistant", "x"), (None, 1, "user", "n"), (None, 2, "assistant", "m")]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    assert sorted((r.conv_id, r.turn, r.line) for r in dialogue.exchanges(df).filter("conv_id = 2").collect()) == [(2, 1, "P: a | R: "), (2, 2, "P:  | R: ")]
+    got = sorted(map(tuple, dialogue.summaries(df, lambda lines: F.array_join(lines, "+"), 2).collect()), key=key)
+    assert got == sorted([(1, 0, 2, "P: t0 | R: t1+P: t2 | R: t3", None), (1, 1, 2, "P: t4 | R: t5+P: t6 | R: t7", None), (1, 2, 1, None, "P: t8 | R: t9"), (2, 0, 2, "P: a | R: +P:  | R: ", None), (None, 0, 1, None, "P: n | R: m")], key=key)
+    failed = dialogue.summaries(df, lambda lines: F.lit(None).cast("string"), 2).filter("conv_id = 1 AND block = 0").first()
+    assert failed.summary is None and failed.pending == "P: t0 | R: t1\nP: t2 | R: t3"
+    assert dialogue.summaries(df.limit(0)).count() == 0
+
+
 def test_the_clock_runs_with_what_is_said(spark):
     turns = spark.createDataFrame([(1, 2, "abc"), (1, 1, "x" * 10), (1, 2, "é"), (1, 3, None), (2, 1, "")], "conv_id long, turn long, text string")
     assert sorted(map(tuple, dialogue.clock(turns).collect())) == [(1, 1, 10), (1, 2, 14), (1, 3, 14), (2, 1, 0)]
