@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm.scratch import cut
+from skillgrid.llm.scratch import cut, drop
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -32,14 +32,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large and small stars until nothing moves. Group minima are pre-aggregated and the joins back
     are ones whose hot keys adaptive execution splits, so a node may have any number of links. Each round is
-    cut to the shared folder; only two numbers of it reach the driver."""
+    cut to the shared folder, where the one before it then goes; only two numbers of it reach the driver."""
     a, b = F.col(a).cast("long"), F.col(b).cast("long")
     edges = cut(links.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     size = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
     was = size(edges)
     while was[0]:
-        edges = cut(_flatten(_hook(edges)))
+        last, edges = edges, cut(_flatten(_hook(edges)))
         now = size(edges)
+        drop(last)
         if now == was:
             break
         was = now

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_PATH = "_skillgrid_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skillgrid-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that cut() wrote and that nothing lazily evaluated reads any more, such as one that
+    a later table was made from."""
+    path = getattr(df, _PATH, None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows of a narrow table that may be broadcast; a larger one is joined by a shuffle.

@@ -223,3 +223,26 @@ def test_crowds_of_mixed_documents_lose_no_pair(spark):
     want = classes(sets)
     out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
     assert len(set(want.values())) == 300 and sum(out[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_many_repeated_lines_of_one_text_go_in_linear_time(spark):
+    """Ninety thousand removed lines of one text: comparing each with each would take minutes."""
+    import time
+
+    text = "\n".join(f"the line that is said again and again {k % 7} {'x' * (k % 3)}" for k in range(90_000))
+    began = time.time()
+    row = lines.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_removed"] >= 89_900 and row["n_lines"] == 90_000 and time.time() - began < 60
+
+
+def test_superseded_tables_are_deleted(spark, tmp_path):
+    from skillgrid.llm.scratch import cut, drop
+
+    df = cut(spark.range(5))
+    assert df.count() == 5
+    files = df.inputFiles()
+    drop(df)
+    drop(spark.range(5))  # not one of ours
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file:")) for f in files)
