@@ -29,6 +29,8 @@ from skillgrid.llm.scratch import cut, join_narrow
 SMALL = 12
 #: Rows that are sorted together; a larger region is dealt by its ids into parts of about as many.
 SORTED_ROWS = 4096
+#: Words of 64 parities of a set's elements. Of sets of 340 elements, pairs below similarity 0.68 or so are told apart.
+PARITIES = 8
 #: Rows before it in its order that a row of a crowded region is compared with.
 NEIGHBOURS = 2
 
@@ -64,19 +66,28 @@ def across(sets: DataFrame, percent: int) -> DataFrame:
     With all elements in one order, two sets of sizes n >= m that share at least s elements share one of the
     first n - s + 1 of the one and m - s + 1 of the other. The larger set shows as many as any partner asks
     for, the smaller as many as a partner of its own size does; where the first shared element stands bounds
-    how many can follow it."""
+    how many can follow it. A pair is written only if the parities of both sets' elements, in 64 * PARITIES classes,
+    allow the similarity: classes that differ are as many elements at least that only one of them has."""
     rows = sets.select("id", "part", F.size("elements").alias("n"), F.explode("elements").alias("x"))
     counts = rows.groupBy("x").agg(F.count("*").alias("c")).filter("c > 1")
-    known = rows.join(counts, "x").groupBy("id", "part", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("order"))
+    bit, word = F.expr("shiftleft(1L, CAST(x & 63 AS INT))"), F.shiftright("x", 6).bitwiseAND(PARITIES - 1)
+    parities = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"q{k}") for k in range(PARITIES)]
+    known = rows.join(counts, "x").groupBy("id", "part", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("order"), *parities)
     known = known.withColumn("alone", F.col("n") - F.size("order"))  # elements of one row only stand first
     least = lambda num, den: (F.col("n") - F.ceil(num * F.col("n") / den) + 1).cast("int")
     shown = F.slice("order", F.lit(1), F.greatest(least(percent, 100) - F.col("alone"), F.lit(0)))
-    first = known.select("id", "part", "n", "alone", least(2 * percent, 100 + percent).alias("short"), F.posexplode(shown).alias("at", "e"))
-    first = cut(first.select("id", "part", "n", (F.col("at") + F.col("alone")).alias("at"), "short", F.col("e.x").alias("x")))
-    small = first.filter(F.col("at") < F.col("short")).select("x", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "at")])
+    words = [f"q{k}" for k in range(PARITIES)]
+    first = known.select("id", "part", "n", "alone", *words, least(2 * percent, 100 + percent).alias("short"), F.posexplode(shown).alias("at", "e"))
+    first = cut(first.select("id", "part", "n", "alone", *words, (F.col("at") + F.col("alone")).alias("at"), "short", F.col("e.x").alias("x")))
+    small = first.filter(F.col("at") < F.col("short")).select("x", *[F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "alone", "at", *words)])
     a, b = F.col("n"), F.col("n_b")
     room = F.least(a - F.col("at"), b - F.col("at_b"))
     fits = ((a > b) | ((a == b) & (F.col("id") > F.col("id_b")))) & (100 * b >= percent * a) & ((100 + percent) * room >= percent * (a + b))
+    # Elements that only one of both has: those of one row only, and at least as many as parities that differ.
+    apart = F.col("alone") + F.col("alone_b")
+    for q in words:
+        apart = apart + F.bit_count(F.col(q).bitwiseXOR(F.col(f"{q}_b")))
+    fits = fits & ((100 + percent) * apart <= (100 - percent) * (a + b))
     pairs = first.join(small, "x").filter(fits & (F.col("part") != F.col("part_b")))
     return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
