@@ -36,13 +36,19 @@ NEIGHBOURS = 2
 
 
 def regions(signatures: DataFrame, orders: list[list[int]], base: int) -> DataFrame:
-    """(id, key, rest) for each order, a list of places in the signature, of signatures (id, signature: array
-    of ints): the key of the row's region and the order's values after the region's."""
+    """(id, key, t) for each order t, a list of places in the signature, of signatures (id, signature: array of
+    ints): the key of the row's region."""
     value = lambda i: F.get("signature", F.lit(i))
-    one = lambda t, order: F.struct(F.xxhash64(F.lit(t), *[value(i) for i in order[:base]]).alias("key"), F.array(*[value(i) for i in order[base:]]).cast("array<int>").alias("rest"))
+    one = lambda t, order: F.struct(F.xxhash64(F.lit(t), *[value(i) for i in order[:base]]).alias("key"), F.lit(t).alias("t"))
     return signatures.select("id", F.inline(F.array(*[one(t, order) for t, order in enumerate(orders)])))
 
 
+def _rest(rows: DataFrame, signatures: DataFrame, orders: list[list[int]], base: int) -> DataFrame:
+    """Adds rest to rows (id, t, ...): the order's values after the region's."""
+    places = F.array(*[F.array(*[F.lit(i) for i in order[base:]]).cast("array<int>") for order in orders])
+    return rows.join(signatures, "id").withColumn("rest", F.transform(F.get(places, F.col("t")), lambda i: F.get("signature", i))).drop("signature")
+
+
 def _within(rows: DataFrame) -> DataFrame:
     """All pairs of regions that hold at most SMALL rows."""
     ids = rows.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
@@ -127,7 +133,7 @@ def classes(signatures: DataFrame, orders: list[list[int]], base: int, prepare:
 
     left = mixed()
     if ordered and not left.isEmpty():
-        rows = live.filter(F.col("size") > small).join(left, "id")
+        rows = _rest(live.filter(F.col("size") > small).join(left, "id"), signatures, orders, base)
         reach = joined(verify(cut(_neighbours(rows))))
         left = mixed()
     if not left.isEmpty():
