@@ -107,7 +107,7 @@ def test_components(spark, edges):
     assert got == want
 
 
-def line_set(line, k=10):
+def line_set(line, k=6):
     padded = "\n" * (k - 1) + line + "\n" * (k - 1)
     return {padded[i : i + k] for i in range(len(padded) - k + 1)}
 
@@ -180,13 +180,36 @@ def test_lines_that_differ_stay_and_small_edits_go(spark):
     base = "Every visitor has to sign the register at the front desk before going up to the offices."
     pairs = [
         ("https://www.example.com/about-us", "https://www.example.com/report/alpha/one", False), ("Total revenue in 2023: 1,999", "Total revenue in 2023: 1,234", False), ("Chapter seventeen: 4", "Chapter seventeen: 9", False),
-        ("吾輩は猫である名前はまだ無いどこで生れたか", "吾輩は猫である名前はまだ無いどこで死んだか", False), (base, base.replace("visitor", "visjtor"), True), (base, base.replace("desk", "door"), True), (base, base.replace("register", "logbook"), False), (base, base.replace("offices", "kitchens"), False),
+        ("吾輩は猫である名前はまだ無いどこで生れたか", "吾輩は猫である名前はまだ無いどこで死んだか", False), (base, base.replace("visitor", "visjtor"), True), (base, base.replace("desk", "door"), True), (base, base.replace("register", "logbook"), True), (base, base.replace("offices", "kitchens"), True), (base, base.replace("register", "logbook").replace("desk", "door"), False),
+        ("All rights reserved. Last updated on Monday, page 12 of 30", "All rights reserved. Last updated on Monday, page 13 of 30", True), ("Copyright 2023 Example Ltd, page 4 of 12", "Copyright 2023 Example Ltd, page 7 of 12", True),
+        ("Copyright 2023 Example Limited, page 14 of 12", "Copyright 2023 Example Limited, page 27 of 12", True), ("Copyright 2023 Example, page 4 of 12", "Copyright 2021 Example, page 9 of 12", False),
     ]
     for first, second, gone in pairs:
         docs = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
         assert [r["n_removed"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, int(gone)], (first, second)
 
 
+def test_bands_find_similar_lines(spark):
+    rng = random.Random(12)
+    rows, similar = [], 0
+    for i in range(1500):  # pairs of their own alphabet, just above the threshold
+        letters = [chr(0x4E00 + 12 * i + k) for k in range(12)]
+        line = [rng.choice(letters) for _ in range(rng.randint(24, 200))]
+        first, last = "".join(line), line
+        while True:
+            more = list(last)
+            more[rng.randrange(len(more))] = rng.choice(letters)
+            a, b = line_set(first), line_set("".join(more))
+            if 100 * len(a & b) < 75 * len(a | b):
+                break
+            last = more
+        if last != line:
+            similar += 1
+            rows += [(2 * i, first), (2 * i + 1, "".join(last))]
+    gone = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert similar > 1000 and 0.99 * similar <= gone <= similar
+
+
 def test_crowds_of_mixed_lines_lose_no_pair(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
