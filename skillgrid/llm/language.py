@@ -32,8 +32,10 @@ EPOCHS = 4
 RATE = 0.5
 #: Share of calibration texts that each threshold may reject.
 REJECTED = 0.002
-#: Deviations from the language's usual rarity that are never rejected: too few calibration texts tell nothing of them.
-USUAL_DEVIATIONS = 6.0
+#: Share of the calibration texts, taken for texts of a language not learned, that the threshold on rarity should reject.
+CAUGHT = 0.99
+#: Calibration texts with which both thresholds stand half way from rejecting nothing.
+FEW = 10
 UNKNOWN = "und"
 _PART = 1 << 20
 
@@ -45,7 +47,8 @@ _CLEAN[[9, 10, 11, 12, 13]] = 32
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # (buckets, languages + 1): embeddings times weights; last the bucket's rarity
+    table: np.ndarray  # (buckets, at most DIMENSION + 1): embeddings, times weights if that is narrower; last the bucket's rarity
+    weights: np.ndarray  # (columns of the table but for the last, languages)
     bias: np.ndarray
     temperature: float
     threshold: float  # least score
@@ -58,7 +61,7 @@ class Model:
         """Scores of all languages, and how far each text's rarity lies above the best one's, in deviations; of
         the sums of the rows of `table` over n n-grams of each text."""
         mean = sums / np.maximum(n, 1)[:, None]
-        p = _softmax((mean[:, :-1] + self.bias) / self.temperature)
+        p = _softmax((mean[:, :-1] @ self.weights + self.bias) / self.temperature)
         above = mean[:, -1] - self.usual[p.argmax(1)]
         return p, np.where(n > 0, above / np.sqrt(self.between + self.within / np.maximum(n, 1)), 0.0)
 
@@ -111,7 +114,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
     """Fits on rows (language, buckets, counts); a fifth is held aside to calibrate on."""
     languages = tuple(sorted({r[0] for r in rows}))
     if not languages:
-        return Model((), np.zeros((BUCKETS * len(WIDTHS), 1), np.float32), np.zeros(0, np.float32), 1.0, 0.0, np.zeros(0), 1.0, 1.0, np.inf)
+        return Model((), np.zeros((BUCKETS * len(WIDTHS), 1), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, np.zeros(0), 1.0, 1.0, np.inf)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.3, (BUCKETS * len(WIDTHS), DIMENSION)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (DIMENSION, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
@@ -135,8 +138,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
             done += 1
     known = [data[k] for k in (fit if len(fit) else order)]
     rarity, usual, within = _rarity(known, len(languages))
-    table = np.concatenate([vectors @ weights, rarity[:, None]], axis=1).astype(np.float32)
-    model = Model(languages, table, bias, 1.0, 0.0, usual, 0.0, within, np.inf)
+    if len(languages) <= DIMENSION:
+        vectors, weights = vectors @ weights, np.eye(len(languages), dtype=np.float32)
+    table = np.concatenate([vectors, rarity[:, None]], axis=1).astype(np.float32)
+    model = Model(languages, table, weights, bias, 1.0, 0.0, usual, 0.0, within, np.inf)
     if not len(aside):
         return model
     truth = np.array([data[k][0] for k in aside])
@@ -147,22 +152,56 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mode
     off = sums[:, -1] / n - usual[model.judge(sums, n)[0].argmax(1)]
     model = replace(model, between=float(max(1e-4, (off**2 - within / n).mean())))
     scores, far = model.judge(sums, n)
-    allowed = int(REJECTED * (len(n) + 1))  # of texts like these, at most REJECTED lie beyond
-    least = 0.0
-    if allowed and len(languages) > 1:  # midway, in log odds, between chance and what the texts' scores reach
-        odds = [np.log(x / (1 - x)) for x in (1 / len(languages), min(0.999, np.sort(scores.max(1))[allowed - 1]))]
-        least = float(1 / (1 + np.exp(-np.mean(odds))))
-    return replace(model, threshold=least, strange=max(USUAL_DEVIATIONS, float(np.sort(far)[-max(1, allowed)])))
+    least, sure = 0.0, len(n) / (len(n) + FEW)
+    if len(languages) > 1:  # midway, in log odds, between chance and what nearly all texts' scores reach
+        odds = np.log(scores.max(1)) - np.log(np.maximum(1 - scores.max(1), 0.001))
+        chance = -np.log(len(languages) - 1)
+        reach = max(chance, -_exceeded(-odds, REJECTED))
+        least = float(1 / (1 + np.exp(-(chance + sure * (reach - chance) / 2))))
+    usual_far = _exceeded(far, REJECTED)
+    foreign = _foreign(known, [data[k] for k in aside], n, model)
+    # Midway, in ratio, between what few texts of learned languages exceed and what most of others do.
+    strange = max(usual_far, np.sqrt(max(usual_far, 0) * max(_exceeded(foreign, CAUGHT), 0))) if len(foreign) else usual_far
+    return replace(model, threshold=least, strange=float(max(strange, 0) / sure))
+
+
+def _exceeded(values: np.ndarray, share: float) -> float:
+    """What this share of values like these exceed, interpolated between two of them; at most the largest."""
+    down = np.sort(values)[::-1]
+    return float(np.interp(share * (len(values) + 1) - 1, np.arange(len(down)), down))
+
+
+def _foreign(known: list, aside: list, n: np.ndarray, model: Model) -> np.ndarray:
+    """How far the texts held aside would lie above the usual rarity, in deviations, had their own language not
+    been learned."""
+    sums, size, n_languages = _shares(known, len(model.languages)), BUCKETS * len(WIDTHS), len(model.languages)
+    if n_languages < 2:
+        return np.zeros(0)
+    out, total = np.zeros(len(aside)), sums.sum(0)
+    for y in {row[0] for row in aside}:
+        rarity = -np.log((total - sums[y]) / (n_languages - 1) + 0.1 / size)
+        usual = sums @ rarity
+        for i, (own, ids, share) in enumerate(aside):
+            if own == y:
+                scores = (share @ model.table[ids, :-1]) @ model.weights + model.bias
+                scores[y] = -np.inf
+                out[i] = (share @ rarity[ids] - usual[scores.argmax()]) / np.sqrt(model.between + model.within / n[i])
+    return out
+
+
+def _shares(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int) -> np.ndarray:
+    """The share of each bucket in each language."""
+    shares = np.zeros((n_languages, BUCKETS * len(WIDTHS)), np.float32)
+    for y, ids, share in rows:
+        shares[y, ids] += share
+    return shares / np.maximum(shares.sum(1, keepdims=True), 1e-12)
 
 
 def _rarity(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Of rows (language, buckets, shares): each bucket's rarity, the negative logarithm of its share where all
     languages weigh alike, with a share for the unseen; its mean in each language; and its variance in a language,
     as n-grams vary that overlap each other."""
-    shares = np.zeros((n_languages, BUCKETS * len(WIDTHS)))
-    for y, ids, share in rows:
-        shares[y, ids] += share
-    shares /= np.maximum(shares.sum(1, keepdims=True), 1e-12)
+    shares = _shares(rows, n_languages)
     rarity = -np.log(shares.mean(0) + 0.1 / shares.shape[1])
     usual = shares @ rarity
     spread = np.maximum(shares @ rarity**2 - usual**2, 0)
@@ -171,7 +210,8 @@ def _rarity(rows: list[tuple[int, np.ndarray, np.ndarray]], n_languages: int) ->
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fits on docs (doc_id, text, lang); rows without text or lang teach nothing. Every value of lang is
-    learned that the sample holds a row of. One task fits to the sample, whose rows are bounded; only the model
+    learned that the sample holds a row of; more than sampling.MOST_GROUPS values are an error. With few rows both
+    thresholds move towards rejecting less; with one language only rarity rejects. One task fits to the sample, whose rows are bounded; only the model
     reaches the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
 
@@ -201,7 +241,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for column in parts:
             best, score, usual = [], [], []
             for lo, hi, data, offsets in slices(column):
-                sums, n = np.zeros((hi - lo, len(m.languages) + 1)), np.zeros(hi - lo)
+                sums, n = np.zeros((hi - lo, m.table.shape[1])), np.zeros(hi - lo)
                 for i in range(hi - lo):
                     for b in buckets(data[offsets[i] : offsets[i + 1]]):
                         sums[i] += m.table[b].sum(axis=0, dtype=np.float64)

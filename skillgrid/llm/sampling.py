@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _RANGE = float(1 << 62)
+#: Values that a column may have whose every value is sampled.
+MOST_GROUPS = 2000
 
 
 def remainder(doc_id: str, divisor: int) -> Column:
@@ -15,11 +17,13 @@ def remainder(doc_id: str, divisor: int) -> Column:
 
 def at_most(rows: DataFrame, key: str, group: str, bound: int, groups: int | None = 256, total: int | None = None) -> DataFrame:
     """About `bound` rows at most of each value of `group`, for its `groups` most frequent values (None: for
-    all): those whose key hashes below the value's share. Where that may come to more than `total` rows, each
+    all, of which there may be MOST_GROUPS; more are an error): those whose key hashes below the value's share. Where that may come to more than `total` rows, each
     value gets an equal part of these, one at least. The share follows from counts over all rows; only they (a
     row for each value) reach the driver."""
     sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group)
-    counts = (sizes if groups is None else sizes.limit(groups)).collect()
+    counts = sizes.limit(MOST_GROUPS + 1 if groups is None else groups).collect()
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} values of {group}")
     if not counts:
         return rows.limit(0)
     if total is not None:

@@ -110,6 +110,47 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language.identify(asked, blank).collect()} == {"und"}
 
 
+def test_thresholds_move_steadily_with_the_rows():
+    rng = np.random.default_rng(4)
+
+    def text(k):  # words of syllables that two neighbouring languages share half of
+        syllables = [chr(97 + (5 * k + i) % 26) + chr(97 + (11 * k + 7 * j) % 26) for i in range(6) for j in range(5)]
+        return " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(rng.integers(8, 80)))
+
+    def row(k, t):
+        counts = sum(np.bincount(b, minlength=2 * language.BUCKETS) for b in language.buckets(np.frombuffer(t.encode(), np.uint8)))
+        return (f"l{k}", np.flatnonzero(counts), counts[counts > 0])
+
+    rows = [row(i % 3, text(i % 3)) for i in range(3000)]
+    other = [row(9, text(3 + i % 4)) for i in range(100)] + [row(9, "".join(chr(0x431 + c) for c in rng.integers(0, 30, 200))) for _ in range(100)]
+    own = [row(i % 3, text(i % 3)) for i in range(300)]
+    sums = lambda m, some: np.array([c.astype(float) @ m.table[ids] for _, ids, c in some])
+    least = []
+    for size in (100, 600, 1000, 2400, 2600, 3000):
+        m = language.train(rows[:size])
+        kept = []
+        for some in (other, own):
+            p, far = m.judge(sums(m, some), np.array([c.sum() for _, _, c in some], float))
+            kept.append(np.mean((p.max(1) >= m.threshold) & (far <= m.strange)))
+        least.append(m.threshold)
+        assert kept[0] <= 0.1 and kept[1] >= 0.98, (size, kept, m.threshold, m.strange)
+    assert max(abs(a - b) for a, b in zip(least, least[1:], strict=False)) < 0.35 and abs(least[3] - least[4]) < 0.05, least
+
+
+def test_many_languages_share_a_bounded_table(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        k = i % 40
+        ids = np.unique(np.concatenate([rng.integers(0, 100, 5), 1000 + 50 * k + rng.integers(0, 50, 30)]))
+        rows.append((f"l{k:02d}", ids, np.ones(len(ids), np.int64)))
+    m = language.train(rows)
+    assert m.table.shape[1] == language.DIMENSION + 1 and m.weights.shape == (language.DIMENSION, 40)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'some text' AS text", "CAST(id AS string) AS lang")
+    with pytest.raises(ValueError, match="2000 values"):
+        language.fit(docs)
+
+
 def test_quality_on_held_out_rows(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents").filter("doc_id < 4000").select("doc_id", "text", (sampling.remainder("doc_id", 3) == 1).alias("held_out"))
     labels = table(spark, "/root/testdata/sf0.1", "labels")
