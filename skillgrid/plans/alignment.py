@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillgrid.operators.algebra import asc, desc, distinct_offers, gate, nothing, only_if_available, share, top, with_total
@@ -26,7 +26,7 @@ def _courses(g: GraphContext) -> DataFrame:
 
 def coverage(g: GraphContext) -> DataFrame:
     """Every career's courses and coverage records of each dimension, and whether they can be compared."""
-    counts = g.coverage().groupBy("carrera").agg(*[F.countDistinct(F.when(F.col("dimension") == d, F.col("cobertura"))).alias(f"coberturas_{d}") for d in DIMENSIONS])
+    counts = g.records().groupBy("carrera").agg(*[F.sum(F.when(F.col("dimension") == d, F.col("coberturas"))).alias(f"coberturas_{d}") for d in DIMENSIONS])
     rows = g.carrera.join(_courses(g), "carrera", "left").join(counts, "carrera", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("total_cursos", *(f"coberturas_{d}" for d in DIMENSIONS))})
     some = {d: F.col(f"coberturas_{d}") > 0 for d in DIMENSIONS}
@@ -46,9 +46,8 @@ def _status(g: GraphContext, carrera_id: object, dimension: str, industria_id: o
     row = g.carrera.filter(F.col("carrera") == F.lit(carrera_id))
     if industria_id is not None:
         row = row.crossJoin(g.industria.filter(F.col("industria") == F.lit(industria_id)))
-    covered = g.cubre.join(g.conocimiento.filter(F.col("dimension") == dimension), "conocimiento", "left_semi")
-    taught = g.ensenia.filter(F.col("carrera") == F.lit(carrera_id)).select("curso").join(covered, "curso", "left")
-    row = row.crossJoin(taught.agg(F.countDistinct("curso").alias("total_cursos"), F.countDistinct("cobertura").alias("dimension_coverage_n")))
+    row = row.crossJoin(g.ensenia.filter(F.col("carrera") == F.lit(carrera_id)).agg(F.countDistinct("curso").alias("total_cursos")))
+    row = row.crossJoin(g.records(carrera_id, dimension).agg(F.coalesce(F.sum("coberturas"), F.lit(0)).alias("dimension_coverage_n")))
     status = F.when(F.col("total_cursos") == 0, "unavailable").when(F.col("dimension_coverage_n") == 0, "incomplete")
     if offers is not None:
         row = row.crossJoin(offers.agg(F.countDistinct("oferta").alias("total_ofertas")))
@@ -58,7 +57,7 @@ def _status(g: GraphContext, carrera_id: object, dimension: str, industria_id: o
 
 def coverage_of(g: GraphContext, carrera_id: object, tipo_conocimiento: str) -> DataFrame:
     """A career's twenty most covered elements of a dimension, or one status row."""
-    rows = g.coverage(carrera_id, tipo_conocimiento).groupBy("conocimiento", "conocimiento_nombre").agg(F.countDistinct("curso").alias("cursos"))
+    rows = g.taught(carrera_id, tipo_conocimiento).select("conocimiento", "conocimiento_nombre", "cursos")
     rows = top(rows, 20, desc("cursos"), asc("conocimiento_nombre"), asc("conocimiento"))
     out = gate(_status(g, carrera_id, tipo_conocimiento), rows)
     return out.orderBy(asc("rank")).select(
@@ -68,13 +67,12 @@ def coverage_of(g: GraphContext, carrera_id: object, tipo_conocimiento: str) ->
     )
 
 
-def _pairs(g: GraphContext, offers: DataFrame, covered: DataFrame, covered_only: bool, dimension: str | None = None) -> DataFrame:
+def _pairs(g: GraphContext, offers: DataFrame, taught: DataFrame, covered_only: bool, dimension: str | None = None) -> DataFrame:
     """(carrera, conocimiento, ofertas, cursos): demand and coverage, each counted on its own and joined once;
     pairs that are only asked for are left out with covered_only."""
     known = g.conocimiento if dimension is None else g.conocimiento.filter(F.col("dimension") == dimension)
     asked = distinct_offers(offers.join(g.requiere, "oferta"), "carrera", "conocimiento")
-    taught = covered.groupBy("carrera", "conocimiento").agg(F.countDistinct("curso").alias("cursos"))
-    both = taught.join(asked, ["carrera", "conocimiento"], "left" if covered_only else "full")
+    both = taught.select("carrera", "conocimiento", "cursos").join(asked, ["carrera", "conocimiento"], "left" if covered_only else "full")
     both = both.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("ofertas", "cursos")})
     return both.join(known, "conocimiento")
 
@@ -95,12 +93,12 @@ def _measured(rows: DataFrame, sign: int) -> DataFrame:
 
 def _difference(g: GraphContext, covered_only: bool, sign: int) -> DataFrame:
     offers = g.recent().join(g.dirige, "oferta")
-    covered = g.coverage()
+    taught = g.taught()
     totals = _courses(g).join(distinct_offers(offers, "carrera", name="total_ofertas"), "carrera", "left" if covered_only else "inner")
     totals = totals.withColumn("total_ofertas", F.coalesce("total_ofertas", F.lit(0)).cast("long"))
-    rows = _pairs(g, offers, covered, covered_only)
+    rows = _pairs(g, offers, taught, covered_only)
     if not covered_only:
-        rows = rows.join(covered.select("carrera", "dimension").distinct(), ["carrera", "dimension"], "left_semi")
+        rows = rows.join(taught.select("carrera", "dimension").distinct(), ["carrera", "dimension"], "left_semi")
     rows = rows.join(F.broadcast(totals), "carrera").join(F.broadcast(g.carrera), "carrera")
     status = F.when(F.col("demand_denominator_n") == 0, "no_market_data").otherwise("available")
     rows = _measured(rows, sign).withColumn("availability", status)
@@ -117,7 +115,7 @@ def _difference_of(g: GraphContext, covered_only: bool, sign: int, carrera_id: o
     mine = offers.withColumn("carrera", F.lit(carrera_id))
     status = _status(g, carrera_id, dimension, industria_id, offers)
     totals = status.select("total_cursos", "total_ofertas")
-    rows = _pairs(g, mine, g.coverage(carrera_id, dimension), covered_only, dimension).drop("carrera").crossJoin(F.broadcast(totals))
+    rows = _pairs(g, mine, g.taught(carrera_id, dimension), covered_only, dimension).drop("carrera").crossJoin(F.broadcast(totals))
     rows = top(_measured(rows, sign), 20, desc("value"), desc("demand_numerator_n"), asc("conocimiento_nombre"), asc("conocimiento"))
     out = gate(status, rows.drop("dimension")).withColumn("dimension", F.lit(dimension))
     first = [F.col("carrera").alias("carrera_id"), F.col("carrera_nombre").alias("carrera"), F.col("industria").alias("industria_id"), F.col("industria_nombre").alias("industria")]
@@ -142,24 +140,29 @@ def currency_of(g: GraphContext, carrera_id: object, industria_id: object, tipo_
     return _difference_of(g, True, -1, carrera_id, industria_id, tipo_conocimiento, desde, hasta)
 
 
-def _offers_by_course(asked: DataFrame, pairs: DataFrame, per: list[str]) -> DataFrame:
-    """(per..., curso, ofertas): how many offers of asked (per..., oferta, conocimiento) ask for anything that a course of
-    pairs (per..., curso, conocimiento) covers.
+def _offers_by_programme(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(carrera, programa, ofertas): how many offers of asked (carrera, oferta, conocimiento) ask for anything that a
+    programme of pairs (carrera, programa, conocimiento) covers.
 
-    What teaches an element is one short list, so that an offer's rows stay as many as it asks for; offers that the
-    same courses answer are added up before they are counted for each course."""
-    taught = pairs.groupBy(*per, "conocimiento").agg(F.collect_set("curso").alias("cursos"))
-    answered = asked.join(taught, [*per, "conocimiento"]).groupBy(*per, "oferta").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cursos")))).alias("cursos"))
-    alike = answered.groupBy(*per, "cursos").agg(F.count("*").alias("n"))
-    return alike.select(*per, F.explode("cursos").alias("curso"), "n").groupBy(*per, "curso").agg(F.sum("n").alias("ofertas"))
+    A career's programmes are numbered; 64 of them are the bits of a word. What teaches an element is a few words,
+    an offer's words are joined by "or" before they are shuffled, and each bit is counted where the words lie, so that
+    nothing grows with offers times courses."""
+    numbers = pairs.select("carrera", "programa").distinct().withColumn("k", F.row_number().over(Window.partitionBy("carrera").orderBy("programa")) - 1)
+    numbers = numbers.select("carrera", "programa", F.expr("k div 64").alias("palabra"), (F.col("k") % 64).alias("bit"))
+    taught = pairs.join(numbers, ["carrera", "programa"]).groupBy("carrera", "conocimiento", "palabra").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    answered = asked.join(taught, ["carrera", "conocimiento"]).groupBy("carrera", "oferta", "palabra").agg(F.bit_or("bits").alias("bits"))
+    counts = answered.groupBy("carrera", "palabra").agg(*[F.sum(F.shiftright("bits", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
+    each = counts.select("carrera", "palabra", F.posexplode(F.array(*[f"b{b}" for b in range(64)])).alias("bit", "ofertas"))
+    return each.filter("ofertas > 0").join(numbers, ["carrera", "palabra", "bit"]).select("carrera", "programa", "ofertas")
 
 
 def courses(g: GraphContext) -> DataFrame:
     """Courses by recent offers for their own career that ask for what they cover."""
     asked = g.recent().join(g.dirige, "oferta").join(g.requiere, "oferta").select("oferta", "carrera", "conocimiento")
-    pairs, keys = g.coverage().select("carrera", "curso", "conocimiento").distinct(), ["carrera", "curso"]
+    enrolled, keys = g.enrolled().distinct(), ["carrera", "programa"]
+    pairs = enrolled.select(*keys).distinct().join(g.contents(), "programa").select(*keys, "conocimiento")
     shared = pairs.join(asked.select("carrera", "conocimiento").distinct(), ["carrera", "conocimiento"], "left_semi").groupBy(*keys).agg(F.count("*").alias("conocimientos_compartidos"))
-    rows = _offers_by_course(asked, pairs, ["carrera"]).join(shared, keys)
+    rows = _offers_by_programme(asked, pairs).join(shared, keys).join(enrolled, keys).drop("programa")
     rows = with_total(rows.join(g.curso, "curso").join(g.carrera, "carrera"), "ofertas")
     rows = top(rows, 20, desc("ofertas"), desc("conocimientos_compartidos"), asc("curso_nombre"), asc("carrera"), asc("curso"))
     careers = g.carrera.agg(F.countDistinct("carrera").alias("total_carreras")).crossJoin(g.carrera.join(g.ensenia, "carrera", "left_semi").agg(F.countDistinct("carrera").alias("carreras_perfiladas")))
@@ -173,10 +176,12 @@ def courses(g: GraphContext) -> DataFrame:
 def courses_of(g: GraphContext, carrera_id: object, industria_id: object, tipo_conocimiento: str, desde: str, hasta: str) -> DataFrame:
     """A career's courses of a dimension by offers of an industry; courses that no offer asks for stay."""
     offers = g.context(desde, hasta, carrera_id, industria_id)
-    pairs = g.coverage(carrera_id, tipo_conocimiento).select("curso", "conocimiento").distinct()
-    asked = offers.join(g.requiere, "oferta").select("oferta", "conocimiento")
-    shared = pairs.join(asked.select("conocimiento").distinct().withColumn("asked", F.lit(1)), "conocimiento", "left").groupBy("curso").agg(F.count("asked").alias("conocimientos_compartidos"))
-    rows = shared.join(_offers_by_course(asked, pairs, []), "curso", "left").withColumn("ofertas", F.coalesce("ofertas", F.lit(0)).cast("long")).join(g.curso, "curso")
+    enrolled = g.enrolled(carrera_id).select("curso", "programa").distinct()
+    pairs = enrolled.select("programa").distinct().join(g.contents(tipo_conocimiento), "programa").select(F.lit(carrera_id).alias("carrera"), "programa", "conocimiento")
+    asked = offers.join(g.requiere, "oferta").select(F.lit(carrera_id).alias("carrera"), "oferta", "conocimiento")
+    shared = pairs.join(asked.select("conocimiento").distinct().withColumn("asked", F.lit(1)), "conocimiento", "left").groupBy("programa").agg(F.count("asked").alias("conocimientos_compartidos"))
+    counts = shared.join(_offers_by_programme(asked, pairs).drop("carrera"), "programa", "left").withColumn("ofertas", F.coalesce("ofertas", F.lit(0)).cast("long"))
+    rows = counts.join(enrolled, "programa").drop("programa").join(g.curso, "curso")
     rows = top(rows, 20, desc("ofertas"), desc("conocimientos_compartidos"), asc("curso_nombre"), asc("curso"))
     out = gate(_status(g, carrera_id, tipo_conocimiento, industria_id, offers), rows)
     return out.orderBy(asc("rank")).select(

@@ -54,7 +54,7 @@ def demand(g: GraphContext, dimension: str, carrera_id: object, desde: str, hast
 def coverage(g: GraphContext, dimension: str, carrera_id: object, limite: int = MAX_ROWS) -> DataFrame:
     """Elements of a dimension by courses of a career that cover them."""
     total = g.ensenia.filter(F.col("carrera") == F.lit(carrera_id)).agg(F.countDistinct("curso").alias("total_cursos"))
-    rows = g.coverage(carrera_id, dimension).groupBy("conocimiento", "conocimiento_nombre").agg(F.countDistinct("curso").alias("cursos_con_cobertura"))
+    rows = g.taught(carrera_id, dimension).select("conocimiento", "conocimiento_nombre", F.col("cursos").alias("cursos_con_cobertura"))
     rows = _element(rows).orderBy(F.desc("cursos_con_cobertura"), asc("elemento"), asc("id")).limit(limite)
     return rows.crossJoin(F.broadcast(total)).select("id", "elemento", "cursos_con_cobertura", "total_cursos").orderBy(F.desc("cursos_con_cobertura"), asc("elemento"), asc("id"))
 
@@ -65,7 +65,7 @@ def gaps(g: GraphContext, dimension: str, carrera_id: object, desde: str, hasta:
     whole = g.carrera.filter(F.col("carrera") == F.lit(carrera_id)).crossJoin(offers.agg(F.countDistinct("oferta").alias("total_ofertas")))
     whole = whole.crossJoin(g.ensenia.filter(F.col("carrera") == F.lit(carrera_id)).agg(F.countDistinct("curso").alias("total_cursos"))).select("total_ofertas", "total_cursos")
     asked = distinct_offers(offers.join(g.requiere, "oferta"), "conocimiento", name="ofertas_que_requieren")
-    taught = g.coverage(carrera_id, dimension).groupBy("conocimiento").agg(F.countDistinct("curso").alias("cursos_con_cobertura"))
+    taught = g.taught(carrera_id, dimension).select("conocimiento", F.col("cursos").alias("cursos_con_cobertura"))
     rows = asked.join(taught, "conocimiento", "full").join(g.conocimiento.filter(F.col("dimension") == dimension), "conocimiento").crossJoin(F.broadcast(whole))
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("ofertas_que_requieren", "cursos_con_cobertura")})
     rate = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.try_divide(F.col(a).cast("double"), F.col(b)))

@@ -10,7 +10,7 @@ from skillgrid.sources.graph import GraphContext
 
 
 def _taught(g: GraphContext, carrera_id: object) -> DataFrame:
-    return g.coverage(carrera_id).select("conocimiento", "conocimiento_nombre", "dimension").distinct()
+    return g.taught(carrera_id).select("conocimiento", "conocimiento_nombre", "dimension")
 
 
 def _asked(g: GraphContext, carrera_id: object) -> DataFrame:
@@ -60,4 +60,4 @@ def faculty_careers(g: GraphContext, facultad_id: object) -> DataFrame:
 
 
 def syllabi_of_competence(g: GraphContext, conocimiento_id: object) -> DataFrame:
-    return g.silabo.join(g.cubre.filter(F.col("conocimiento") == F.lit(conocimiento_id)), "curso", "left_semi").select("codigo", "sumilla").distinct()
+    return g.silabo.join(g.covering(conocimiento_id), "curso", "left_semi").select("codigo", "sumilla").distinct()

@@ -69,11 +69,11 @@ TEMPLATES: tuple[Template, ...] = (
     Template("top_competencias_ofertas", 45, ("competencias mas demandadas", "top competencias", "competencias requeridas"), lambda g: _ranking(_asked(g, "competencia"), "competencia", "conocimiento_nombre", "conocimiento")),
     Template("habilidades_para_puesto", 35, ("habilidades para", "habilidades de un puesto", "habilidades del puesto"), lambda g, x: _names(_of(g.define, "puesto", x).join(_dimension(g, "habilidad"), "conocimiento"), "conocimiento_nombre", "habilidad"), "puesto"),
     Template("herramientas_mas_requeridas", 45, ("herramientas mas requeridas", "top herramientas", "herramientas demandadas"), lambda g: _ranking(_asked(g, "herramienta"), "herramienta", "conocimiento_nombre", "conocimiento"), None, ("dirigid",)),
-    Template("herramientas_de_carrera", 35, ("herramientas ensena", "herramientas se ensenan", "herramientas de la carrera"), lambda g, x: _names(g.coverage(x, "herramienta"), "conocimiento_nombre", "herramienta"), "carrera", ("ademas", "ofertas", "piden")),
+    Template("herramientas_de_carrera", 35, ("herramientas ensena", "herramientas se ensenan", "herramientas de la carrera"), lambda g, x: _names(g.taught(x, "herramienta"), "conocimiento_nombre", "herramienta"), "carrera", ("ademas", "ofertas", "piden")),
     Template("puestos_mas_demandados", 40, ("puestos mas demandados", "top puestos", "puestos con mas ofertas"), lambda g: _ranking(g.ofrece_puesto.join(g.puesto.filter("puesto_nombre IS NOT NULL"), "puesto"), "puesto", "puesto_nombre")),
     Template("industrias_con_mas_ofertas", 40, ("industrias con mas ofertas", "top industrias", "sectores con mas ofertas"), lambda g: _ranking(g.publica.join(g.agrupa, "empresa").join(g.industria, "industria"), "industria", "industria_nombre", "industria")),
     Template("empresas_de_industria", 35, ("empresas del sector", "empresas de la industria", "empresas de"), lambda g, x: _names(_of(g.agrupa, "industria", x).join(g.empresa, "empresa"), "empresa_nombre", "empresa"), "industria"),
     Template("silabo_de_curso", 35, ("silabo de", "silabo del curso", "sumilla de"), lambda g, x: _of(g.silabo, "curso", x).select("codigo", "sumilla").orderBy(asc("codigo"), asc("sumilla")).limit(MAX_ROWS), "curso"),
     Template("carreras_que_tienen_curso", 35, ("carreras tienen", "carreras que tienen", "carreras ensenan"), lambda g, x: _names(_of(g.ensenia, "curso", x).join(g.carrera, "carrera"), "carrera_nombre", "carrera"), "curso"),
-    Template("cursos_para_competencia", 35, ("cursos que desarrollan", "cursos para", "cursos de competencia"), lambda g, x: _names(_of(g.cubre, "conocimiento", x).join(_dimension(g, "competencia"), "conocimiento", "left_semi").join(g.curso, "curso"), "curso_nombre", "curso"), "competencia"),
+    Template("cursos_para_competencia", 35, ("cursos que desarrollan", "cursos para", "cursos de competencia"), lambda g, x: _names(g.covering(x).join(_dimension(g, "competencia"), "conocimiento", "left_semi").join(g.curso, "curso"), "curso_nombre", "curso"), "competencia"),
 )

@@ -87,7 +87,7 @@ def read(spark: SparkSession, folder: str) -> GraphContext:
     """The graph that a folder keeps. Where it has its months, periods are read from their own folders only. Missing
     tables and columns are Malformed, all named at once."""
     frames, wrong = {}, []
-    for name in GraphContext.__dataclass_fields__:
+    for name in (n for n in GraphContext.__dataclass_fields__ if n != "programas"):
         try:
             df = spark.read.parquet(f"{folder}/{name}")
             frames[name] = df if name == MONTHS else _named(df, name)
