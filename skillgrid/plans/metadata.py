@@ -76,8 +76,7 @@ def topology(g: GraphContext) -> DataFrame:
     """(origen, relacion, destino, n): the rows of every triple, whose both ends are there."""
     out = []
     for frame, relation, source, target in relations():
-        both = getattr(g, frame).filter(F.col(source).isNotNull() & F.col(target).isNotNull())
-        out.append(both.agg(F.count("*").alias("n")).select(F.lit(source).alias("origen"), F.lit(relation).alias("relacion"), F.lit(target).alias("destino"), "n"))
+        out.append(g.rows(frame, source, target).select(F.lit(source).alias("origen"), F.lit(relation).alias("relacion"), F.lit(target).alias("destino"), "n"))
     return _union(out)
 
 
