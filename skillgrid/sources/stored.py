@@ -6,7 +6,10 @@ id_<label> and nombre or nombre_<label>. integrity() says what is wrong with a g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.sources.graph import TRIPLES, GraphContext, month_of
@@ -117,40 +120,41 @@ def integrity(g: GraphContext, hot_share: float = HOT_SHARE) -> DataFrame:
     how many nodes have more than `hot_share` of the rows; with the least id or pair of each. Every check has a
     row, 0 where nothing is wrong.
 
-    Nodes and ends meet by label and id in one pass. Rows are added up where they lie first, so that a node that has
-    a third of all relations arrives as one row from each task."""
+    Nodes and ends meet by label and id in one pass, a column for the nodes and one for each end of a label. Rows are
+    added up where they lie first, so that a node that has a third of all relations arrives as one row from each task.
+    Pairs are counted relation by relation, by the keys that the relation was made by."""
     text = lambda c: F.col(c).cast("string")
-    checks: list[tuple[str, str]] = []
-    seen: list[DataFrame] = []
+    union = lambda dfs: dfs[0] if len(dfs) == 1 else union(dfs[: len(dfs) // 2]).unionByName(union(dfs[len(dfs) // 2 :]))
+    checks: list[tuple[str, str, str, int, str]] = []
+    seen: dict[str, list[DataFrame]] = {}
     for label in LABELS:
-        seen.append(getattr(g, label).select(F.lit(label).alias("label"), text(label).alias("id"), F.lit("").alias("at")))
-        checks += [(label, p) for p in ("nulo", "repetido")]
+        seen[label] = [getattr(g, label).select(F.col(label).alias("id"), F.lit(1).cast("long").alias("n"))]
+        checks += [(label, p, label, 0, p) for p in ("nulo", "repetido")]
     pairs = []
     for frame, relation, source, target in relations():
         triple = f"{source}-{relation}-{target}"
-        df = getattr(g, frame).select(text(source).alias("a"), text(target).alias("b"))
-        for side, end, label in (("origen", "a", source), ("destino", "b", target)):
+        for side, label in (("origen", source), ("destino", target)):
             if label in LABELS:
-                seen.append(df.select(F.lit(label).alias("label"), F.col(end).alias("id"), F.lit(f"{triple}|{side}").alias("at")))
-                checks += [(triple, f"{side} {p}") for p in ("nulo", "inexistente", "muy frecuente")]
+                checks += [(triple, f"{side} {p}", label, len(seen[label]), p) for p in ("nulo", "inexistente", "muy frecuente")]
+                seen[label].append(g.ends(frame, label))
         if frame not in ("cubre", "silabo"):  # their rows hang on more than the pair
-            pairs.append(df.withColumn("triple", F.lit(triple)))
-            checks.append((triple, "repetida"))
-    union = lambda dfs: dfs[0] if len(dfs) == 1 else union(dfs[: len(dfs) // 2]).unionByName(union(dfs[len(dfs) // 2 :]))
-    degree = union(seen).groupBy("label", "id", "at").agg(F.count("*").alias("n"))
-    whole = degree.filter("at <> ''").groupBy("at").agg(F.sum("n").alias("rows"))  # a row for each end of a triple
-    node = F.sum(F.when(F.col("at") == "", F.col("n")).otherwise(0)).over(Window.partitionBy("label", "id"))
-    rows = degree.withColumn("nodes", node).join(F.broadcast(whole), "at", "left")
-    end = F.when(F.col("at") == "", F.col("label")).otherwise(F.substring_index("at", "|", 1)).alias("objeto")
-    side = F.when(F.col("at") == "", F.lit("")).otherwise(F.concat(F.substring_index("at", "|", -1), F.lit(" ")))
-    problem: list[tuple[Column, str, Column]] = [
-        (F.col("id").isNull(), "nulo", F.col("n")), (F.col("id").isNotNull() & (F.col("at") == "") & (F.col("n") > 1), "repetido", F.lit(1)),
-        (F.col("id").isNotNull() & (F.col("at") != "") & (F.col("nodes") == 0), "inexistente", F.lit(1)), (F.col("id").isNotNull() & (F.col("at") != "") & (F.col("n") > F.lit(hot_share) * F.col("rows")), "muy frecuente", F.lit(1)),
-    ]
-    each = F.array(*[F.when(where, F.struct(F.concat(side, F.lit(name)).alias("problema"), n.cast("long").alias("n"))) for where, name, n in problem])
-    found = rows.select(end, F.col("id").alias("ejemplo"), F.explode(F.array_compact(each)).alias("p")).select("objeto", "p.problema", "p.n", "ejemplo")
-    repeated = union(pairs).groupBy("triple", "a", "b").agg(F.count("*").alias("k")).filter("k > 1")
-    repeated = repeated.select(F.col("triple").alias("objeto"), F.lit("repetida").alias("problema"), F.lit(1).cast("long").alias("n"), F.concat_ws(" ", "a", "b").alias("ejemplo"))
-    found = found.unionByName(repeated).groupBy("objeto", "problema").agg(F.sum("n").alias("n"), F.min("ejemplo").alias("ejemplo"))
-    every = g.oferta.sparkSession.createDataFrame(checks, "objeto string, problema string")  # a fixed list
-    return every.join(found, ["objeto", "problema"], "left").select("objeto", "problema", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "ejemplo")
+            twice = getattr(g, frame).groupBy(source, target).agg(F.count("*").alias("k")).filter("k > 1")
+            pairs.append(twice.select(F.lit(triple).alias("label"), F.lit(0).alias("at"), F.lit("repetida").alias("p"), F.lit(1).cast("long").alias("n"), F.concat_ws(" ", text(source), text(target)).alias("ejemplo")))
+            checks.append((triple, "repetida", triple, 0, "repetida"))
+    ats = range(max(map(len, seen.values())))
+    each = [df.select(F.lit(label).alias("label"), text("id").alias("id"), *[(F.col("n") if i == at else F.lit(0).cast("long")).alias(f"n{i}") for i in ats]) for label, dfs in seen.items() for at, df in enumerate(dfs)]
+    degree = union(each).groupBy("label", "id").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in ats])
+    whole = degree.groupBy("label").agg(*[F.sum(f"n{i}").alias(f"rows{i}") for i in ats])  # a row for each label
+    problem: list[tuple[Column, int, str, Column]] = []
+    for i in ats:
+        n, there = F.col(f"n{i}"), F.col("id").isNotNull() & (F.col(f"n{i}") > 0)
+        problem.append((F.col("id").isNull() & (n > 0), i, "nulo", n))
+        if i == 0:
+            problem.append((there & (n > 1), i, "repetido", F.lit(1)))
+        else:
+            problem += [(there & (F.col("n0") == 0), i, "inexistente", F.lit(1)), (there & (n > F.lit(hot_share) * F.col(f"rows{i}")), i, "muy frecuente", F.lit(1))]
+    some = F.array(*[F.when(where, F.struct(F.lit(i).alias("at"), F.lit(name).alias("p"), n.cast("long").alias("n"))) for where, i, name, n in problem])
+    found = degree.join(F.broadcast(whole), "label").filter(reduce(or_, [where for where, *_ in problem])).select("label", F.col("id").alias("ejemplo"), F.explode(F.array_compact(some)).alias("x")).select("label", "x.at", "x.p", "x.n", "ejemplo")
+    found = union([found, *pairs]).groupBy("label", "at", "p").agg(F.sum("n").alias("n"), F.min("ejemplo").alias("ejemplo"))
+    every = g.oferta.sparkSession.createDataFrame(checks, "objeto string, problema string, label string, at int, p string")  # a fixed list
+    return every.join(found, ["label", "at", "p"], "left").select("objeto", "problema", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "ejemplo")
