@@ -9,8 +9,9 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -80,40 +81,53 @@ def plan(lengths: np.ndarray, capacity: int = SEQUENCE_TOKENS, linear: float = L
 
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across a space or line feed, so
-    each chunk between them is encoded once and looked up afterwards. A worker keeps its table of chunks from
-    task to task and empties it when full."""
+    each chunk between them is encoded once and looked up afterwards. New chunks are encoded as one text between
+    marks, special tokens that the tokenizer cuts out first. A worker keeps its table of chunks from task to task
+    and empties it when full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        plain = [(t.content, i) for i, t in added if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark, self.mark_id = plain[0] if plain else (None, None)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: defaultdict[str, int] = defaultdict(count().__next__)  # numbers chunks as they come
         self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.known, self.flat, self.used = 0, np.zeros(1 << 14, np.uint32), 0
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks and how many each has."""
+        if self.mark:
+            ids = np.array(self.tokenizer.encode(self.mark.join(chunks), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) == len(chunks) - 1:  # else a chunk holds the mark
+                return np.delete(ids, ends), np.diff(ends, prepend=-1, append=len(ids)) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(each)), np.uint32), np.array([len(x) for x in each], np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, (e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)), strict=True):
-            k = len(self.at)
-            if k == len(self.begin):
-                self.begin, self.count = np.resize(self.begin, 2 * k), np.resize(self.count, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.at[chunk], self.begin[k], self.count[k] = k, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        ids, n = self.encode(chunks)
+        k, used = self.known + len(chunks), self.used + len(ids)
+        while k > len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
+        while used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.begin[self.known : k], self.count[self.known : k] = self.used + np.cumsum(n) - n, n
+        self.flat[self.used : used] = ids
+        self.known, self.used = k, used
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > CACHED_CHUNKS:
             self.clear()
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if fresh := list({c for p in parts for c in p if c not in self.at}):
-            self.learn(fresh)
-        get = self.at.__getitem__
-        k = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        if fresh := list(islice(reversed(self.at), len(self.at) - self.known)):
+            self.learn(fresh[::-1])
         n = self.count[k]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.begin[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]

@@ -114,6 +114,32 @@ def test_packed_ids_are_the_tokenizers(spark):
     assert packing.pack(docs.limit(0), PATH).collect() == []
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_new_chunks_are_encoded_in_one_call(monkeypatch, marked):
+    """As many calls as batches, not one for each chunk, with the ids that each text has alone."""
+    encoder = packing.Encoder(PATH)
+    plain, calls = encoder.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **k):
+            calls.append(text)
+            return plain.encode(text, **k)
+
+        def encode_batch(self, texts, **k):
+            calls.extend(texts)
+            return plain.encode_batch(texts, **k)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    if not marked:
+        encoder.mark = None
+    for texts in (["one two", "", "İstanbul ÉCHAN!! e\u0301 1999 \u3000 x's", "one"], ["two"], [" "], ["new"], [f"a{encoder.mark or '<|endoftext|>'}b new c", "<|startoftext|> <|ENDOFTEXT|>"]):
+        assert [x.tolist() for x in encoder(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    if marked:
+        calls.clear()
+        encoder([f"fresh{i} word{i}," for i in range(300)])
+        assert len(calls) == 1
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "ñ", "x" * 192, "x" * 193, "word " * 60_000, "same", "same"]
     docs = spark.createDataFrame([(i, t, b"m") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
