@@ -269,3 +269,18 @@ def test_superseded_tables_are_deleted(spark, tmp_path):
     import os
 
     assert files and not any(os.path.exists(f.removeprefix("file:")) for f in files)
+
+
+def test_unlike_lines_of_a_region_are_not_written(spark):
+    """Lines that meet by chance in a band are told apart where they meet, before their pair is shuffled."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(120)]
+    texts += [t[:70] + "x" + t[71:] for t in texts[:30]]
+    marks = lines.signatures(lines.split_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).cache()
+    every = lines.forest.regions(marks, lines.ORDERS, 2)
+    met = lines.forest._candidates(every.drop("sketch"), 12, None).filter("near")
+    near = lines.forest._candidates(every, 12, lines.SKETCH_AGREE).filter("near")
+    alike = lines.likely(met.select("a", "b"), marks)
+    assert near.count() < met.count()
+    assert alike.count() >= 30 and alike.exceptAll(near.select("a", "b")).isEmpty()
