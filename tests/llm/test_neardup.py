@@ -284,3 +284,28 @@ def test_unlike_lines_of_a_region_are_not_written(spark):
     alike = lines.likely(met.select("a", "b"), marks)
     assert near.count() < met.count()
     assert alike.count() >= 30 and alike.exceptAll(near.select("a", "b")).isEmpty()
+
+
+def test_crowds_are_sorted_where_no_table_is_broadcast(spark):
+    """The orders' regions are a union; its parts must not be taken for one shuffle (Spark: "Can't zip RDDs")."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    template = [word() for _ in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(template)
+        for k in rng.sample(range(40), 8):
+            w[k] = word()
+        rows.append((2 * i, " ".join(w)))
+        w[rng.randrange(36)] = word()
+        rows.append((2 * i + 1, " ".join(w)))
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        got = {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    gone = line_truth(rows)
+    assert len(gone) > 40 and got <= gone and len(got) >= 0.99 * len(gone)
