@@ -94,7 +94,7 @@ def confirmer(ids: DataFrame, docs: DataFrame, width: int = SHINGLE_WORDS, perce
         shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
         return both.filter(forest.similar(shared, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b")
 
-    return confirm, lambda rows: rows.join(sets, "id").select("id", "part", F.col("shingles").alias("elements"))
+    return confirm, lambda rows: forest.dealt(rows.join(sets, "id")).select("id", "part", F.col("shingles").alias("elements"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -309,3 +309,66 @@ def test_crowds_are_sorted_where_no_table_is_broadcast(spark):
             spark.conf.unset(name)
     gone = line_truth(rows)
     assert len(gone) > 40 and got <= gone and len(got) >= 0.99 * len(gone)
+
+
+def test_shuffles_of_written_tables_are_deleted(spark):
+    import glob
+    import time
+
+    from skillgrid.llm.scratch import cut
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    df = spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count()
+    df.collect()
+    assert files() - before, "a shuffle's files are seen"
+    before = files()
+    assert cut(df).count() == 100
+    for _ in range(50):
+        left = files() - before
+        if len(left) <= 1:  # that of count() above
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1
+
+
+def test_passes_over_orders_make_all_regions(spark):
+    rng = random.Random(2)
+    orders = lines.ORDERS
+    marks = spark.createDataFrame([(i, [rng.randrange(9) for _ in range(32)], i) for i in range(40)], "id long, signature array<int>, sketch long")
+    every = lines.forest.regions(marks, orders, 4)
+    parts = [lines.forest.regions(marks, orders, 4, k, k + lines.forest.ORDERS_AT_ONCE) for k in range(0, len(orders), lines.forest.ORDERS_AT_ONCE)]
+    assert [p.count() for p in parts] == [40 * lines.forest.ORDERS_AT_ONCE] * len(parts)
+    rows = lambda df: {(r["id"], r["t"], r["key"]) for r in df.collect()}
+    assert set().union(*map(rows, parts)) == rows(every)
+
+
+def similar_sets(seed=6):
+    """Sets over few elements, some of them frequent, others in one set only, and the pairs at 0.75."""
+    rng = random.Random(seed)
+    sets, often = {}, rng.sample(range(1 << 40), 30)
+    rare = iter(rng.sample(range(1 << 40, 1 << 41), 9000))
+    for i in range(80):
+        if i % 2 and i > 1:
+            s = set(sets[i - 1])
+            for x in rng.sample(sorted(s), rng.randint(0, len(s) // 5)):
+                s.remove(x)
+        else:
+            s = set(rng.sample(often, rng.randint(4, 25))) | {next(rare) for _ in range(rng.randint(1, 60))}
+        sets[i] = s
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    return sets, want
+
+
+@pytest.mark.parametrize("frequent", [250_000, 10, 0])
+def test_exact_join_loses_no_pair_in_any_order(spark, monkeypatch, frequent):
+    """Elements' counts are known only of the most frequent ones: the others' order is by chance."""
+    monkeypatch.setattr(lines.forest, "FREQUENT", frequent)
+    sets, want = similar_sets()
+    df = spark.createDataFrame([(i, i, sorted(s)) for i, s in sets.items()], "id long, part long, elements array<long>")
+    got = {(r["a"], r["b"]) for r in lines.forest.across(lines.forest.dealt(df), 75).collect()}
+    assert len(want) > 20 and want <= got and len(got) < 3 * len(want)
+    marked = lines.F.array(*[lines.F.lit(0).cast("long")] * lines.forest.MINIMA)
+    got = {(r["a"], r["b"]) for r in lines.forest.across(lines.forest.dealt(df).withColumn("minima", marked), 75, lines.AGREE).collect()}
+    assert want <= got
