@@ -372,3 +372,19 @@ def test_exact_join_loses_no_pair_in_any_order(spark, monkeypatch, frequent):
     marked = lines.F.array(*[lines.F.lit(0).cast("long")] * lines.forest.MINIMA)
     got = {(r["a"], r["b"]) for r in lines.forest.across(lines.forest.dealt(df).withColumn("minima", marked), 75, lines.AGREE).collect()}
     assert want <= got
+
+
+def test_packed_minima_tell_what_likely_tells(spark):
+    rng = random.Random(9)
+    base = [[rng.randrange(-(1 << 31), 1 << 31) for _ in range(32)] for _ in range(30)]
+    rows = []
+    for i, m in enumerate(base):
+        other = [x if rng.random() < 0.45 else rng.randrange(-(1 << 31), 1 << 31) for x in m]
+        rows += [(2 * i, m), (2 * i + 1, other)]
+    marks = spark.createDataFrame(rows, "id long, signature array<int>")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(30)], "a long, b long")
+    want = {r["a"] for r in lines.likely(pairs, marks).collect()}
+    of = lambda k: marks.select(lines.F.col("id").alias(k), lines.minima().alias(f"m_{k}"))
+    apart = sum(lines.F.bit_count(lines.forest._bytes(lines.F.get("m_a", lines.F.lit(k)).bitwiseXOR(lines.F.get("m_b", lines.F.lit(k))))) for k in range(4))
+    got = {r["a"] for r in pairs.join(of("a"), "a").join(of("b"), "b").filter(apart <= 32 - lines.AGREE).collect()}
+    assert 0 < len(want) < 30 and got == want
